@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelode import rules
+from hirelode.functions.text import literal
 from hirelode.functions.urls import url_domain
 
 TITLES = (
@@ -59,7 +60,7 @@ def pick(words: Sequence[str], number: Column | str) -> Column:
     """The word at a number counted from 0, wrapping around."""
     index = F.col(number) if isinstance(number, str) else number
     position = (index % len(words) + 1).cast("int")
-    return F.element_at(F.array(*[F.lit(w) for w in words]), position)
+    return F.element_at(F.expr(literal(words)), position)
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:

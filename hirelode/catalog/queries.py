@@ -185,7 +185,7 @@ def write_run(spark, sf):
 def order_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Postings as runs: a day per order month, a time per keyword and page."""
     rows = fx.postings(spark, sf)
-    relevance = classify.relevance("title", "description")["label"]
+    relevance = classify.it_related("title", "keyword")
     return rows.select(
         "posting_id",
         F.date_format("scraped_at", "yyyy-MM").alias("run_day"),

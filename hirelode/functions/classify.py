@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -16,6 +18,7 @@ from hirelode.functions.text import (
     first_match,
     fold_umlauts,
     has_any,
+    let,
     text_or_blank,
     utrim,
 )
@@ -49,42 +52,59 @@ def is_in_region(
     return contains_any(fold_umlauts(location), words)
 
 
+# Label, pattern, and words one of which any match contains.
 Skill = tuple[str, str, Sequence[str]]
 
 
-def _hit(text: Column, skill: Skill) -> Column:
-    _, pattern, words = skill
+def _hit(text: Column, pattern: str, words: Sequence[str]) -> Column:
+    """Regular expression behind a byte search that skips it for most rows."""
     return has_any(text, words) & text.rlike(UNICODE + pattern)
 
 
-def skill_hits(description: Column | str, skills: Sequence[Skill]) -> Column:
-    """Labels of the skills found, in dictionary order."""
+def skill_mask(description: Column | str, skills: Sequence[Skill]) -> Column:
+    """Bit i tells whether skill i is found: every pattern is matched once per row, and labels
+    and counts both follow from the mask."""
     text = F.lower(text_or_blank(description))
-    return F.array_distinct(
-        F.array_compact(F.array(*[F.when(_hit(text, s), F.lit(s[0])) for s in skills]))
-    )
+    mask = F.lit(0).cast("bigint")
+    for bit, (_, pattern, words) in enumerate(skills):
+        mask = mask + F.when(_hit(text, pattern, words), 1 << bit).otherwise(0)
+    return mask
+
+
+def mask_labels(mask: Column | str, skills: Sequence[Skill]) -> Column:
+    """Labels of a mask in dictionary order."""
+    found = [F.when(col(mask).bitwiseAND(1 << i) != 0, s[0]) for i, s in enumerate(skills)]
+    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
+def mask_hits(mask: Column | str, first: int, count: int) -> Column:
+    return F.bit_count(col(mask).bitwiseAND(((1 << count) - 1) << first))
 
 
 def extract_skills(
     description: Column | str,
     skills: Sequence[Skill] = rules.CORE_SKILLS + rules.SUPPORTING_SKILLS,
 ) -> Column:
-    return skill_hits(description, skills)
+    """Labels of the skills found, in dictionary order."""
+    return let(skill_mask(description, skills), lambda mask: mask_labels(mask, skills))
 
 
 def german_level(
     description: Column | str,
-    required: Sequence[str] = rules.GERMAN_REQUIRED,
-    preferred: Sequence[str] = rules.GERMAN_PREFERRED,
-    words: Sequence[str] = rules.GERMAN_WORDS,
+    required: Sequence[tuple[str, Sequence[str]]] = rules.GERMAN_REQUIRED,
+    preferred: Sequence[tuple[str, Sequence[str]]] = rules.GERMAN_PREFERRED,
 ) -> Column:
-    text = F.lower(text_or_blank(description))
-    return (
-        F.when(~has_any(text, words), "not_required")
-        .when(text.rlike(UNICODE + "|".join(required)), "required")
-        .when(text.rlike(UNICODE + "|".join(preferred)), "preferred")
-        .otherwise("not_required")
-    )
+    def level(text: Column) -> Column:
+        def any_hit(patterns: Sequence[tuple[str, Sequence[str]]]) -> Column:
+            return functools.reduce(operator.or_, (_hit(text, p, words) for p, words in patterns))
+
+        return (
+            F.when(any_hit(required), "required")
+            .when(any_hit(preferred), "preferred")
+            .otherwise("not_required")
+        )
+
+    return let(F.lower(text_or_blank(description)), level)
 
 
 def is_excluded_title(
@@ -115,15 +135,13 @@ def relevance(
     supporting: Sequence[Skill] = rules.SUPPORTING_SKILLS,
 ) -> Column:
     """struct(label, score): title exclusion first, then weighted skill hits."""
-    text = F.lower(text_or_blank(description))
+    mask = skill_mask(description, (*core, *supporting))
 
-    def count(skills: Sequence[Skill]) -> Column:
-        total = F.lit(0)
-        for skill in skills:
-            total = total + _hit(text, skill).cast("int")
-        return total
+    def graded(found: Column) -> Column:
+        hits = mask_hits(found, 0, len(core)), mask_hits(found, len(core), len(supporting))
+        return relevance_from_hits(is_excluded_title(title), *hits)
 
-    return relevance_from_hits(is_excluded_title(title), count(core), count(supporting))
+    return let(mask, graded)
 
 
 def keep_title(title: Column | str, words: Sequence[str] = rules.ROLE_WORDS) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import html.entities
-from collections.abc import Iterable, Sequence
+import json
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,9 +28,24 @@ def any_of(words: Iterable[str]) -> str:
     return "|".join(quote(w) for w in dict.fromkeys(words))
 
 
+def literal(words: Iterable[str]) -> str:
+    """SQL array literal of a word list: one expression instead of one call per word."""
+    quoted = (w.replace("\\", "\\\\").replace("'", "\\'") for w in words)
+    return "array(" + ", ".join(f"'{w}'" for w in quoted) + ")"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` evaluated once, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+# All Unicode blanks, and the four ASCII separators.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def utrim(value: Column | str) -> Column:
     """Trim every Unicode blank, not only U+0020."""
-    return F.regexp_replace(col(value), f"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(col(value), F.lit(BLANKS))
 
 
 def text_or_blank(value: Column | str) -> Column:
@@ -112,15 +128,12 @@ def form_encode(value: Column | str) -> Column:
 
 _NAMED = {f"&{name};": chr(point) for name, point in html.entities.name2codepoint.items()}
 _NAMED["&apos;"] = "'"
+_REFERENCE = r"(&(?:[A-Za-z]+[0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});)"
 
 
 def unescape_html(value: Column | str) -> Column:
     """Replace named and numeric character references."""
-    text = col(value)
-    named = F.create_map(*[F.lit(part) for pair in _NAMED.items() for part in pair])
-    found = F.array_distinct(
-        F.regexp_extract_all(text, F.lit(r"(&(?:[A-Za-z]+[0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});)"))
-    )
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
 
     def decoded(ref: Column) -> Column:
         digits = F.regexp_extract(ref, r"^&#(?:[xX])?([0-9A-Fa-f]+);$", 1)
@@ -132,12 +145,18 @@ def unescape_html(value: Column | str) -> Column:
         )
         return F.coalesce(F.try_element_at(named, ref), F.when(digits != "", numeric), ref)
 
-    # "&amp;" goes last, so that "&amp;lt;" becomes "&lt;" and stays that way.
-    ordered = F.concat(
-        F.filter(found, lambda r: r != "&amp;"), F.filter(found, lambda r: r == "&amp;")
-    )
-    replaced = F.reduce(ordered, text, lambda acc, ref: F.replace(acc, ref, decoded(ref)))
-    return F.when(text.contains("&"), replaced).otherwise(text)
+    def replaced(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE)))
+        # "&amp;" goes last, so that "&amp;lt;" becomes "&lt;" and stays that way.
+        ordered = F.array_sort(found, lambda a, b: _amp(a) - _amp(b))
+        new = F.reduce(ordered, text, lambda acc, ref: F.replace(acc, ref, decoded(ref)))
+        return F.when(text.contains("&"), new).otherwise(text)
+
+    return let(col(value), replaced)
+
+
+def _amp(reference: Column) -> Column:
+    return (reference == "&amp;").cast("int")
 
 
 def round_half_even(value: Column, digits: int = 2) -> Column:

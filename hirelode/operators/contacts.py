@@ -5,46 +5,28 @@ Addresses are extracted before any shuffle: what travels is an address, not a pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelode.functions.emails import (
-    find_emails,
-    is_asset_email,
-    mailto_address,
-    normalize_email,
-)
-from hirelode.functions.text import col
+from hirelode.functions.emails import find_emails, mailto_address, normalize_email, screened
 from hirelode.operators.dedup import new_domains
-from hirelode.operators.joins import skew_join
-from hirelode.operators.pages import anchors, visible_text
-
-
-def raw_emails(html: Column | str, text: Column | str | None = None) -> Column:
-    """Addresses found in source, visible text and mailto links of a page, unscreened."""
-    source = col(html)
-    shown = visible_text(source) if text is None else col(text)
-    # The page holds no mailto link unless the word occurs.
-    mailto = F.when(
-        source.rlike("(?i)mailto"),
-        F.array_compact(F.transform(anchors(source), lambda a: mailto_address(a["href"]))),
-    )
-    none = F.array().cast("array<string>")
-    return F.array_distinct(
-        F.concat(find_emails(source), find_emails(shown), F.coalesce(mailto, none))
-    )
-
-
-def screened(emails: Column) -> Column:
-    """Distinct normalized addresses of an array, without assets and rejected ones."""
-    kept = F.filter(emails, lambda e: ~is_asset_email(e))
-    return F.array_distinct(F.array_compact(F.transform(kept, normalize_email)))
+from hirelode.operators.pages import anchors_of, page_text, without_hidden
 
 
 def page_emails(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per page and screened address; the page source is gone after this step."""
+    """One row per page and screened address; the page source is gone after this step.
+
+    Addresses come from the source, the visible text and the mailto links.
+    """
     kept = [c for c in pages.columns if c != html]
-    return pages.select(*kept, F.explode(screened(raw_emails(html))).alias("email"))
+    # Each step reads the one before several times, so the steps are columns of their own.
+    shown = pages.withColumn("_shown", without_hidden(html)).withColumn("_text", page_text("_shown"))
+    none = F.array().cast("array<string>")
+    # The page holds no mailto link unless the word occurs.
+    links = F.when(F.col(html).rlike("(?i)mailto"), anchors_of("_shown"))
+    mailto = F.array_compact(F.transform(links, lambda a: mailto_address(a["href"])))
+    raw = F.concat(find_emails(html), find_emails("_text"), F.coalesce(mailto, none))
+    return shown.select(*kept, F.explode(screened(F.array_distinct(raw))).alias("email"))
 
 
 def text_emails(texts: DataFrame, text: str) -> DataFrame:
@@ -56,13 +38,13 @@ def text_emails(texts: DataFrame, text: str) -> DataFrame:
 def first_hit_page(emails: DataFrame, website: str = "website", rank: str = "rank") -> DataFrame:
     """Addresses of the first ranked page of each website that has any.
 
-    Duplicates collapse first; the best rank is a combining aggregate, and a website with a large
-    share of all addresses is spread when its rank is joined back.
+    Duplicates collapse first and the best rank is a combining aggregate. Joining on website and
+    rank leaves the addresses of one page per key, and both sides are plain shuffles, which the
+    adaptive skew join can split.
     """
     distinct = emails.select(website, rank, "email").distinct()
-    best = distinct.groupBy(website).agg(F.min(rank).alias("_best"))
-    joined = skew_join(distinct, best, website, "inner")
-    return joined.filter(F.col(rank) == F.col("_best")).select(website, rank, "email")
+    best = distinct.groupBy(website).agg(F.min(rank).alias(rank))
+    return distinct.join(best, [website, rank]).select(website, rank, "email")
 
 
 def website_contacts(
@@ -74,12 +56,13 @@ def website_contacts(
     """contacts(domain, email) of the websites not known yet.
 
     `homepage_emails(domain, email)` and `subpage_emails(domain, rank, email)` come from
-    `page_emails`; addresses are those of the homepage and of the first subpage with a hit.
+    `page_emails`; addresses are those of the homepage and of the first subpage with a hit, so the
+    rows of a domain never exceed what two pages hold.
     """
     fresh = new_domains(listings, known).filter(F.col("domain").isNotNull()).select("domain")
     first = first_hit_page(subpage_emails, "domain").select("domain", "email")
     found = homepage_emails.select("domain", "email").unionByName(first).distinct()
-    return skew_join(found, fresh, "domain", "left_semi")
+    return found.join(fresh, "domain", "left_semi")
 
 
 def tracked_websites(contacts_listings: DataFrame, known: DataFrame) -> DataFrame:

@@ -38,17 +38,24 @@ def known_keys(history: DataFrame, key: str) -> DataFrame:
     return history.select(utrim(key).alias(key)).filter(F.col(key) != "").distinct()
 
 
-def unseen(df: DataFrame, seen: DataFrame, key: str, unique: bool = False) -> DataFrame:
+def unseen(
+    df: DataFrame,
+    seen: DataFrame,
+    key: str,
+    unique: bool = False,
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Rows with a non-blank key that is not in `seen`.
 
     `unique=True` says each key occurs once in `df`, as after `first_per_key`: the join then needs
-    no guard against hot keys.
+    no guard against hot keys. Otherwise keys are counted in `df`, or in `counted`, a cheaper
+    table with the same keys.
     """
     rows = df.filter(non_blank(key).isNotNull())
     known = known_keys(seen, key)
     if unique:
         return rows.join(known, key, "left_anti")
-    return skew_join(rows, known, key, "left_anti")
+    return skew_join(rows, known, key, "left_anti", counted=counted)
 
 
 def new_listings(listings: DataFrame, processed: DataFrame, sponsored: Column) -> DataFrame:

@@ -83,16 +83,16 @@ def best_role(
 
     The checked role list travels as one value; rows are not multiplied by roles.
     """
-    offered = role_list(roles).scalar()
     scored = F.transform(
-        offered,
+        "_roles",
         lambda r: F.struct(
             cosine_of_units(F.col(vector), r["vector"]).alias("score"),
             (-r["role_idx"]).alias("earlier"),
             r["role"].alias("role"),
         ),
     )
-    best = titles.withColumn("_best", F.array_max(scored))
+    offered = titles.withColumn("_roles", role_list(roles).scalar())
+    best = offered.withColumn("_best", F.array_max(scored)).drop("_roles")
     return best.withColumn(
         "title_match",
         F.struct(

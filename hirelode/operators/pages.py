@@ -45,9 +45,12 @@ def without_hidden(html: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(html), COMMENTS, ""), SCRIPTS, "")
 
 
-def visible_text(html: Column | str) -> Column:
-    """Text of the body; block elements end a line, inline elements leave no trace."""
-    body = F.regexp_replace(without_hidden(html), HEAD, "")
+def page_text(shown: Column | str) -> Column:
+    """Visible text of a page `without_hidden` parts.
+
+    Block elements end a line, inline elements leave no trace.
+    """
+    body = F.regexp_replace(col(shown), HEAD, "")
     lines = F.regexp_replace(body, BLOCK_TAGS, "\n")
     return unescape_html(F.regexp_replace(lines, "<[^>]*>", ""))
 
@@ -59,9 +62,17 @@ def _href(tag: Column) -> Column:
     return F.coalesce(*[F.nullif(part, F.lit("")) for part in (quoted, single, bare)], F.lit(""))
 
 
+def visible_text(html: Column | str) -> Column:
+    return page_text(without_hidden(html))
+
+
 def anchors(html: Column | str) -> Column:
     """array<struct(href, text)> of the anchors that have an href, in page order."""
-    tags = F.regexp_extract_all(without_hidden(html), F.lit(ANCHOR))
+    return anchors_of(without_hidden(html))
+
+
+def anchors_of(shown: Column | str) -> Column:
+    tags = F.regexp_extract_all(col(shown), F.lit(ANCHOR))
     linked = F.filter(tags, lambda t: t.rlike(HREF))
 
     def link(tag: Column) -> Column:

@@ -40,7 +40,9 @@ def contacts_of(
     ).distinct()
     located = pages.withColumn("page_url", canonical_url("url"))
     emails = page_emails(located).select("page_url", "email").distinct()
-    links = page_links(located, "page_url").join(homes, "page_url")
+    # Copies of a page give the same links; they collapse before the join.
+    found = page_links(located, "page_url").select("page_url", "url", "href", "text").distinct()
+    links = found.join(homes, "page_url")
     ranked = rank_relevant_pages(links, k, keywords, tiers, website="domain")
     homepage = emails.join(homes, "page_url").select("domain", "email")
     subpages = emails.join(ranked, "page_url").select("domain", "rank", "email")

@@ -8,19 +8,21 @@ never meet in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelode import rules
 from hirelode.functions.classify import (
-    extract_skills,
     german_level,
     is_excluded_title,
     is_in_region,
     it_related,
     keep_title,
     location_zone,
+    mask_hits,
+    mask_labels,
     relevance_from_hits,
+    skill_mask,
 )
 from hirelode.functions.text import first_non_empty, non_blank
 from hirelode.functions.urls import clean_url
@@ -40,27 +42,26 @@ def clean_postings(postings: DataFrame) -> DataFrame:
 
 def classify(postings: DataFrame, keep_description: bool = False) -> DataFrame:
     """Add zone, skills, language level, score and label."""
-    core = F.array(*[F.lit(label) for label, _, _ in rules.CORE_SKILLS])
-    supporting = F.array(*[F.lit(label) for label, _, _ in rules.SUPPORTING_SKILLS])
-
-    def hits(labels: Column) -> Column:
-        return F.size(F.array_intersect("skills", labels))
-
+    core, supporting = rules.CORE_SKILLS, rules.SUPPORTING_SKILLS
+    known = core + supporting
     tagged = postings.withColumns(
         {
             "location_zone": location_zone("location"),
-            "skills": extract_skills("description"),
             "german_level": german_level("description"),
+            "_mask": skill_mask("description", known),
+            "_excluded": is_excluded_title("title"),
+        }
+    ).withColumns(
+        {
+            "skills": mask_labels("_mask", known),
+            "_core": mask_hits("_mask", 0, len(core)),
+            "_supporting": mask_hits("_mask", len(core), len(supporting)),
         }
     )
-    # Both counts come from the labels found, so that no pattern is matched twice.
-    graded = tagged.withColumn(
-        "_relevance",
-        relevance_from_hits(is_excluded_title("title"), hits(core), hits(supporting)),
-    )
-    result = graded.withColumns(
-        {"relevance_score": F.col("_relevance.score"), "relevance": F.col("_relevance.label")}
-    ).drop("_relevance")
+    graded = relevance_from_hits(F.col("_excluded"), F.col("_core"), F.col("_supporting"))
+    result = tagged.withColumns(
+        {"relevance_score": graded["score"], "relevance": graded["label"]}
+    ).drop("_mask", "_excluded", "_core", "_supporting")
     return result if keep_description else result.drop("description")
 
 
