@@ -42,7 +42,7 @@ def triaged(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def triage_zone_breakdown(spark, sf):
-    return report.zone_breakdown(report.only_relevant(triaged(spark, sf)))
+    return report.zone_breakdown(triaged(spark, sf))
 
 
 @query
@@ -173,36 +173,39 @@ def append_keys(spark, sf):
 @query
 def write_run(spark, sf):
     path = scratch_path(spark, "runs")
-    rows = triaged(spark, sf)
-    run_files.write_run(rows, path, datetime(2026, 4, 1, 9, 30))
-    run_files.write_run(rows, path, datetime(2026, 4, 1, 9, 30))
-    run_files.write_run(rows, path, datetime(2026, 4, 2, 18, 5))
-    return run_files.read_runs(spark, path).groupBy(*run_files.PARTITIONS).agg(
+    run_files.write_run(triaged(spark, sf), path, datetime(2026, 4, 1, 9, 30))
+    first = spark.read.parquet(path).drop(*run_files.PARTITIONS)
+    again = scratch_path(spark, "runs")
+    for stamp in (datetime(2026, 4, 1, 9, 30), datetime(2026, 4, 2, 18, 5)) * 2:
+        run_files.write_run(first, again, stamp)
+    return run_files.read_runs(spark, again).groupBy(*run_files.PARTITIONS).agg(
         F.count(F.lit(1)).alias("postings"), F.sum("relevance_score").alias("score")
     )
 
 
 def order_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Postings as runs: a day per order month, a time per keyword and page."""
-    rows = fx.postings(spark, sf)
-    relevance = classify.it_related("title", "keyword")
-    return rows.select(
+    """Postings as written runs: a day per order year, a time per keyword and page."""
+    path = scratch_path(spark, "runs")
+    rows = fx.postings(spark, sf).select(
         "posting_id",
-        F.date_format("scraped_at", "yyyy-MM").alias("run_day"),
+        F.date_format("scraped_at", "yyyy").alias("run_day"),
         F.concat(F.lit("0"), "keyword_idx", F.lit("-0"), "page_num").alias("run_time"),
-        relevance.alias("relevance"),
-    ).withColumn("relevance_split", run_files.split_of())
+        classify.it_related("title", "keyword").alias("relevance"),
+    )
+    split = rows.withColumn("relevance_split", run_files.split_of())
+    split.write.partitionBy(*run_files.PARTITIONS).parquet(path)
+    return run_files.read_runs(spark, path)
 
 
 @query
 def latest_run(spark, sf):
-    return run_files.latest_run(order_runs(spark, sf), "1998-03")
+    return run_files.latest_run(order_runs(spark, sf), "1998")
 
 
 @query
 def latest_run_fallback(spark, sf):
-    some = order_runs(spark, sf).filter("relevance_split = 'relevant' OR run_day <> '1998-03'")
-    return run_files.latest_run(some, "1998-03").groupBy("relevance_split").agg(
+    some = order_runs(spark, sf).filter("relevance_split = 'relevant' OR run_day <> '1998'")
+    return run_files.latest_run(some, "1998").groupBy("relevance_split").agg(
         F.count(F.lit(1)).alias("postings"), F.max("run_time").alias("last_time")
     )
 
@@ -438,14 +441,14 @@ def first_hit_pages(spark, sf):
 
 @query
 def website_contacts(spark, sf):
-    found = site_emails(spark, sf).withColumn("domain", urls.url_domain("url"))
-    located = found.withColumn("page_url", urls.canonical_url("url"))
-    homes = fx.hosts(spark, sf).select(F.col("home_id").alias("page_id"))
-    homepage = found.join(homes, "page_id").select("domain", "email")
-    ranked = ranked_host_pages(spark, sf).select("page_url", "rank")
-    subpages = located.join(ranked, "page_url").select("domain", "rank", "email")
+    emails = site_emails(spark, sf).withColumn("page_url", urls.canonical_url("url"))
+    homes = fx.hosts(spark, sf).select(
+        "domain", F.lit(0).alias("rank"), urls.canonical_url("home_url").alias("page_url")
+    )
+    wanted = homes.unionByName(ranked_host_pages(spark, sf).select("domain", "rank", "page_url"))
+    found = emails.select("page_url", "email").distinct().join(wanted, "page_url")
     sites = fx.listings(spark, sf).withColumn("domain", urls.url_domain("raw_url"))
-    return contacts.website_contacts(sites, homepage, subpages, fx.known_domains(spark, sf))
+    return contacts.website_contacts(sites, found, fx.known_domains(spark, sf))
 
 
 @query
@@ -612,10 +615,14 @@ def visit_statuses(spark, sf):
 
 @query
 def cleaned_words(spark, sf):
-    return fx.table(spark, sf, "documents").select(
-        "doc_id", F.size(text.tokens("text")).alias("n_tokens"),
+    split = fx.table(spark, sf, "documents").select(
+        "doc_id", "text", text.tokens("text").alias("words")
+    )
+    return split.select(
+        "doc_id",
+        F.size("words").alias("n_tokens"),
         F.md5(text.clean_text("text")).alias("cleaned"),
-        F.md5(F.array_join(F.array_sort(text.tokens("text")), " ")).alias("tokens"),
+        F.md5(F.array_join(F.array_sort("words"), " ")).alias("tokens"),
     )
 
 
@@ -767,8 +774,7 @@ def run_summary(spark, sf):
 
 @query
 def zone_breakdown(spark, sf):
-    graded = triage_plan.classify(fx.postings(spark, sf))
-    return report.zone_breakdown(report.only_relevant(graded))
+    return report.zone_breakdown(triage_plan.classify(fx.postings(spark, sf)))
 
 
 @query

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,7 +14,6 @@ from hirelode import rules
 from hirelode.functions.text import (
     UNICODE,
     col,
-    contains_any,
     contains_whole_word,
     first_match,
     fold_umlauts,
@@ -30,14 +30,14 @@ def location_zone(
     whole_word: bool = False,
 ) -> Column:
     """Label of the first tier with a place named in the text."""
-    folded = fold_umlauts(location)
 
-    def test(places: Sequence[str]) -> Column:
-        if whole_word:
-            return contains_whole_word(folded, *places)
-        return contains_any(folded, places)
+    def zone(folded: Column) -> Column:
+        def test(places: Sequence[str]) -> Column:
+            return contains_whole_word(folded, *places) if whole_word else has_any(folded, places)
 
-    return first_match(((test(places), label) for label, places in tiers), rules.ZONE_DEFAULT)
+        return first_match(((test(p), label) for label, p in tiers), rules.ZONE_DEFAULT)
+
+    return let(fold_umlauts(location), zone)
 
 
 def zone_rank(zone: Column | str, ranking: Sequence[str] = rules.ZONE_RANKING) -> Column:
@@ -49,32 +49,51 @@ def is_in_region(
     words: Sequence[str] = rules.REGION_CITIES + rules.REGION_STATES,
 ) -> Column:
     """Whether a city or state of the region is named; blank is false."""
-    return contains_any(fold_umlauts(location), words)
+    return let(fold_umlauts(location), lambda folded: has_any(folded, words))
+
+
+# Label, alternative patterns, and for each pattern a word that any match of it contains.
+Skill = tuple[str, Sequence[str], Sequence[str]]
 
 
-# Label, pattern, and words one of which any match contains.
-Skill = tuple[str, str, Sequence[str]]
+def _literal_first(pattern: str) -> str:
+    """A single whole word, written so that the search starts from its letters."""
+    word = re.fullmatch(r"\\b([a-z0-9]+)\\b", pattern)
+    return rf"{word[1]}(?<!\w{word[1]})\b" if word else pattern
 
 
 def _hit(text: Column, pattern: str, words: Sequence[str]) -> Column:
     """Regular expression behind a byte search that skips it for most rows."""
-    return has_any(text, words) & text.rlike(UNICODE + pattern)
+    return has_any(text, words) & text.rlike(UNICODE + _literal_first(pattern))
+
+
+def _any_hit(text: Column, cases: Iterable[tuple[str, Sequence[str]]]) -> Column:
+    return functools.reduce(operator.or_, (_hit(text, p, words) for p, words in cases))
 
 
 def skill_mask(description: Column | str, skills: Sequence[Skill]) -> Column:
     """Bit i tells whether skill i is found: every pattern is matched once per row, and labels
     and counts both follow from the mask."""
-    text = F.lower(text_or_blank(description))
-    mask = F.lit(0).cast("bigint")
-    for bit, (_, pattern, words) in enumerate(skills):
-        mask = mask + F.when(_hit(text, pattern, words), 1 << bit).otherwise(0)
-    return mask
+
+    def mask(text: Column) -> Column:
+        bits = (
+            F.when(
+                _any_hit(text, ((p, [w]) for p, w in zip(patterns, words, strict=True))),
+                F.lit(1 << bit).cast("bigint"),
+            ).otherwise(0)
+            for bit, (_, patterns, words) in enumerate(skills)
+        )
+        return functools.reduce(operator.add, bits)
+
+    return let(F.lower(text_or_blank(description)), mask)
 
 
 def mask_labels(mask: Column | str, skills: Sequence[Skill]) -> Column:
     """Labels of a mask in dictionary order."""
     found = [F.when(col(mask).bitwiseAND(1 << i) != 0, s[0]) for i, s in enumerate(skills)]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    labels = F.array_compact(F.array(*found))
+    repeated = len({label for label, _, _ in skills}) < len(skills)
+    return F.array_distinct(labels) if repeated else labels
 
 
 def mask_hits(mask: Column | str, first: int, count: int) -> Column:
@@ -95,12 +114,9 @@ def german_level(
     preferred: Sequence[tuple[str, Sequence[str]]] = rules.GERMAN_PREFERRED,
 ) -> Column:
     def level(text: Column) -> Column:
-        def any_hit(patterns: Sequence[tuple[str, Sequence[str]]]) -> Column:
-            return functools.reduce(operator.or_, (_hit(text, p, words) for p, words in patterns))
-
         return (
-            F.when(any_hit(required), "required")
-            .when(any_hit(preferred), "preferred")
+            F.when(_any_hit(text, required), "required")
+            .when(_any_hit(text, preferred), "preferred")
             .otherwise("not_required")
         )
 
@@ -108,9 +124,12 @@ def german_level(
 
 
 def is_excluded_title(
-    title: Column | str, patterns: Sequence[str] = rules.EXCLUDED_TITLES
+    title: Column | str, patterns: Sequence[tuple[str, Sequence[str]]] = rules.EXCLUDED_TITLES
 ) -> Column:
-    return F.lower(text_or_blank(title)).rlike(UNICODE + "|".join(patterns))
+    """Whether any pattern matches: one regular expression behind one chain of byte searches."""
+    pattern = "|".join(p for p, _ in patterns)
+    words = [w for _, ws in patterns for w in ws]
+    return let(F.lower(text_or_blank(title)), lambda text: _hit(text, pattern, words))
 
 
 def relevance_from_hits(excluded: Column, core_hits: Column, supporting_hits: Column) -> Column:
@@ -139,29 +158,33 @@ def relevance(
 
     def graded(found: Column) -> Column:
         hits = mask_hits(found, 0, len(core)), mask_hits(found, len(core), len(supporting))
-        return relevance_from_hits(is_excluded_title(title), *hits)
+        return let(is_excluded_title(title), lambda out: relevance_from_hits(out, *hits))
 
     return let(mask, graded)
 
 
 def keep_title(title: Column | str, words: Sequence[str] = rules.ROLE_WORDS) -> Column:
-    return contains_any(F.lower(col(title)), words)
+    return let(F.lower(col(title)), lambda heading: has_any(heading, words))
 
 
 def it_related(title: Column | str, keyword: Column | str | None = None) -> Column:
     """"yes" or "no": deny phrases, allow phrases, whole words, then the search keyword."""
-    heading = F.lower(utrim(text_or_blank(title)))
     searched = F.lower(utrim(text_or_blank(keyword))) if keyword is not None else F.lit("")
-    signal = contains_any(searched, rules.KEYWORD_SIGNALS) | contains_whole_word(
-        searched, *rules.KEYWORD_SIGNAL_WORDS
-    )
-    return (
-        F.when(contains_any(heading, rules.NON_IT_PHRASES), "no")
-        .when(contains_any(heading, rules.IT_PHRASES), "yes")
-        .when(contains_whole_word(heading, *rules.IT_WORDS), "yes")
-        .when(signal & contains_any(heading, rules.KEYWORD_TITLE_WORDS), "yes")
-        .otherwise("no")
-    )
+
+    def signal(text: Column) -> Column:
+        words = contains_whole_word(text, *rules.KEYWORD_SIGNAL_WORDS)
+        return has_any(text, rules.KEYWORD_SIGNALS) | words
+
+    def label(heading: Column) -> Column:
+        return (
+            F.when(has_any(heading, rules.NON_IT_PHRASES), "no")
+            .when(has_any(heading, rules.IT_PHRASES), "yes")
+            .when(contains_whole_word(heading, *rules.IT_WORDS), "yes")
+            .when(has_any(heading, rules.KEYWORD_TITLE_WORDS) & let(searched, signal), "yes")
+            .otherwise("no")
+        )
+
+    return let(F.lower(utrim(text_or_blank(title))), label)
 
 
 def parse_scraped(value: Column | str) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import html.entities
 import json
+import operator
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
@@ -11,8 +13,6 @@ from pyspark.sql import functions as F
 
 # Unicode classes, and "." stops at "\n" only.
 UNICODE = "(?Ud)"
-# Java's Unicode white space lacks the four ASCII separators.
-BLANK = r"[\s\x1c-\x1f]"
 
 
 def col(value: Column | str) -> Column:
@@ -76,16 +76,14 @@ def first_match(cases: Iterable[tuple[Column, object]], default: object) -> Colu
     return chosen.otherwise(default)
 
 
-def contains_any(value: Column | str, words: Sequence[str]) -> Column:
-    return col(value).rlike(any_of(words))
-
-
 def has_any(value: Column | str, words: Sequence[str]) -> Column:
-    """Cheap byte search, used to skip a regular expression that cannot match."""
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | col(value).contains(word)
-    return hit
+    """Whether a word occurs as a substring: a chain of byte searches, no regular expression.
+
+    A word that contains another one of the list decides nothing and is left out.
+    """
+    text, distinct = col(value), list(dict.fromkeys(words))
+    needed = [w for w in distinct if not any(o != w and o in w for o in distinct)]
+    return functools.reduce(operator.or_, (text.contains(w) for w in needed))
 
 
 def contains_whole_word(value: Column | str, *words: str) -> Column:
@@ -102,14 +100,14 @@ def fold_umlauts(value: Column | str) -> Column:
 
 def clean_text(value: Column | str) -> Column:
     """Lower-case words of ASCII letters and digits, one blank between them."""
-    # Unicode blanks stay blanks in the first step and are squeezed in the second.
-    words = F.regexp_replace(F.lower(text_or_blank(value)), r"(?U)[^a-z0-9\s\x1c-\x1f]", " ")
-    return utrim(F.regexp_replace(words, f"(?U){BLANK}+", " "))
+    words = F.regexp_replace(F.lower(text_or_blank(value)), "[^a-z0-9]+", " ")
+    return F.btrim(words)
 
 
 def tokens(value: Column | str) -> Column:
     """Distinct words of the cleaned text."""
-    return F.array_distinct(F.filter(F.split(clean_text(value), " "), lambda t: t != ""))
+    words = F.split(F.lower(text_or_blank(value)), "[^a-z0-9]+")
+    return F.array_remove(F.array_distinct(words), "")
 
 
 def unquote(value: Column | str) -> Column:

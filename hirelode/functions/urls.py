@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hirelode import rules
-from hirelode.functions.text import col, contains_any, form_encode, non_blank, unquote
+from hirelode.functions.text import col, form_encode, has_any, non_blank, unquote
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
@@ -97,7 +97,7 @@ def resolve_url(base: Column | str, href: Column | str) -> Column:
 
 
 def is_redirect(url: Column | str, markers: Sequence[str] = rules.REDIRECT_MARKERS) -> Column:
-    return contains_any(url, markers)
+    return has_any(url, markers)
 
 
 def redirect_target(url: Column | str) -> Column:

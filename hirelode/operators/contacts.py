@@ -5,7 +5,7 @@ Addresses are extracted before any shuffle: what travels is an address, not a pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelode.functions.emails import find_emails, mailto_address, normalize_email, screened
@@ -47,22 +47,20 @@ def first_hit_page(emails: DataFrame, website: str = "website", rank: str = "ran
     return distinct.join(best, [website, rank]).select(website, rank, "email")
 
 
-def website_contacts(
-    listings: DataFrame,
-    homepage_emails: DataFrame,
-    subpage_emails: DataFrame,
-    known: DataFrame,
-) -> DataFrame:
+def website_contacts(listings: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
     """contacts(domain, email) of the websites not known yet.
 
-    `homepage_emails(domain, email)` and `subpage_emails(domain, rank, email)` come from
-    `page_emails`; addresses are those of the homepage and of the first subpage with a hit, so the
-    rows of a domain never exceed what two pages hold.
+    `found(domain, rank, email)` holds the addresses on the pages of a website: rank 0 is the
+    homepage, 1 and up its ranked subpages. Contacts are those of the homepage and of the first
+    subpage with a hit. A domain has at most one row per address and ranked page, so the window
+    sees what a handful of pages hold.
     """
     fresh = new_domains(listings, known).filter(F.col("domain").isNotNull()).select("domain")
-    first = first_hit_page(subpage_emails, "domain").select("domain", "email")
-    found = homepage_emails.select("domain", "email").unionByName(first).distinct()
-    return found.join(fresh, "domain", "left_semi")
+    wanted = found.select("domain", "rank", "email").distinct().join(fresh, "domain", "left_semi")
+    first = F.min(F.when(F.col("rank") > 0, F.col("rank"))).over(Window.partitionBy("domain"))
+    hits = wanted.withColumn("_first", first)
+    chosen = (F.col("rank") == 0) | (F.col("rank") == F.col("_first"))
+    return hits.filter(chosen).select("domain", "email").distinct()
 
 
 def tracked_websites(contacts_listings: DataFrame, known: DataFrame) -> DataFrame:

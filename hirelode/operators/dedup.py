@@ -47,14 +47,14 @@ def unseen(
 ) -> DataFrame:
     """Rows with a non-blank key that is not in `seen`.
 
-    `unique=True` says each key occurs once in `df`, as after `first_per_key`: the join then needs
-    no guard against hot keys. Otherwise keys are counted in `df`, or in `counted`, a cheaper
-    table with the same keys.
+    `unique=True` says the keys of `df` are not blank and occur once, as after `first_per_key`:
+    the join then needs no guard against hot keys. Otherwise keys are counted in `df`, or in
+    `counted`, a cheaper table with the same keys.
     """
-    rows = df.filter(non_blank(key).isNotNull())
     known = known_keys(seen, key)
     if unique:
-        return rows.join(known, key, "left_anti")
+        return df.join(known, key, "left_anti")
+    rows = df.filter(non_blank(key).isNotNull())
     return skew_join(rows, known, key, "left_anti", counted=counted)
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from hirelode import rules
 from hirelode.functions.text import (
     col,
-    contains_any,
     contains_whole_word,
+    has_any,
+    let,
     text_or_blank,
     unescape_html,
     utrim,
@@ -102,7 +103,9 @@ def is_sponsored(
 ) -> Column:
     """Any marker word in the card texts; as a substring unless `whole_word`."""
     joined = F.lower(F.concat_ws(" ", *[text_or_blank(t) for t in texts]))
-    return contains_whole_word(joined, *words) if whole_word else contains_any(joined, words)
+    if whole_word:
+        return contains_whole_word(joined, *words)
+    return let(joined, lambda text: has_any(text, words))
 
 
 def is_sponsored_page(html: Column | str, word: str = rules.PAGE_SPONSORED_WORD) -> Column:
@@ -116,10 +119,15 @@ def page_score(
     shallow_slashes: int = rules.SHALLOW_SLASHES,
 ) -> Column:
     """Sum of the points of every tier the path falls in, plus points for a shallow path."""
-    score = F.when(F.regexp_count(path, F.lit("/")) <= shallow_slashes, shallow_points).otherwise(0)
-    for points, words in tiers:
-        score = score + F.when(contains_any(path, words), points).otherwise(0)
-    return score
+
+    def points(where: Column) -> Column:
+        score = F.when(F.regexp_count(where, F.lit("/")) <= shallow_slashes, shallow_points)
+        score = score.otherwise(0)
+        for worth, words in tiers:
+            score = score + F.when(has_any(where, words), worth).otherwise(0)
+        return score
+
+    return let(path, points)
 
 
 def best_score_per_url(links: DataFrame, *group: str) -> DataFrame:
@@ -138,7 +146,10 @@ def rank_relevant_pages(
 
     Candidates are links on the same domain with a keyword in address or text.
     """
-    wanted = contains_any(F.lower("href"), keywords) | contains_any(F.lower("text"), keywords)
+    def named(column: str) -> Column:
+        return let(F.lower(column), lambda text: has_any(text, keywords))
+
+    wanted = named("href") | named("text")
     resolved = links.filter(wanted).withColumn("_target", resolve_url(base, "href"))
     scored = resolved.filter(
         F.col("_target").isNotNull()

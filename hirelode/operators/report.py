@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hirelode import rules
 from hirelode.functions.classify import location_zone, zone_rank
-from hirelode.functions.text import non_blank
 
 RELEVANT = ("high_relevant", "relevant")
 
@@ -30,11 +29,19 @@ def run_summary(triaged: DataFrame, target: int = rules.DAILY_TARGET) -> DataFra
     )
 
 
-def zone_breakdown(relevant: DataFrame) -> DataFrame:
-    """Rows per zone in ranking order; zones without rows do not appear."""
-    counted = relevant.groupBy("location_zone").agg(F.count(F.lit(1)).alias("postings"))
-    ranked = counted.filter(F.col("location_zone").isin(*rules.ZONE_RANKING))
-    return ranked.withColumn("zone_order", zone_rank("location_zone")).orderBy("zone_order")
+def zone_breakdown(triaged: DataFrame) -> DataFrame:
+    """Relevant rows per zone in ranking order; zones without any do not appear.
+
+    Counted with a condition rather than filtered first: Spark would push such a filter below the
+    classification and classify every row twice.
+    """
+    counted = triaged.groupBy("location_zone").agg(
+        F.count_if(F.col("relevance").isin(*RELEVANT)).alias("postings")
+    )
+    shown = F.col("location_zone").isin(*rules.ZONE_RANKING) & (F.col("postings") > 0)
+    return counted.filter(shown).withColumn("zone_order", zone_rank("location_zone")).orderBy(
+        "zone_order"
+    )
 
 
 def relevance_split(df: DataFrame, relevant: str = "relevant") -> tuple[DataFrame, DataFrame]:
@@ -68,8 +75,3 @@ def backfill_zone(rows: DataFrame) -> DataFrame:
     """Fill a blank zone from the location."""
     zone = F.coalesce(F.nullif("location_zone", F.lit("")), location_zone("location"))
     return rows.withColumn("location_zone", zone)
-
-
-def named(column: str, default: str):
-    """Field of a posting with its placeholder."""
-    return F.coalesce(non_blank(column), F.lit(default))

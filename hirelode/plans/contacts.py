@@ -32,18 +32,21 @@ def contacts_of(
 
     A stored page is a homepage if a listing names its URL. The ranked subpages are those its
     links lead to. Pages are read once for addresses and once for links; neither branch shuffles
-    page source.
+    page source, and copies of a page collapse before they are joined.
     """
     sites = with_website(listings)
-    homes = sites.select(canonical_url("website").alias("page_url"), "domain").filter(
-        F.col("domain").isNotNull()
-    ).distinct()
+    homes = (
+        sites.filter(F.col("domain").isNotNull())
+        .select(canonical_url("website").alias("page_url"), "domain")
+        .distinct()
+    )
     located = pages.withColumn("page_url", canonical_url("url"))
+    links = page_links(located, "page_url").select("page_url", "url", "href", "text").distinct()
+    ranked = rank_relevant_pages(
+        links.join(homes, "page_url"), k, keywords, tiers, website="domain"
+    )
+    wanted = homes.withColumn("rank", F.lit(0)).unionByName(
+        ranked.select("page_url", "domain", "rank")
+    )
     emails = page_emails(located).select("page_url", "email").distinct()
-    # Copies of a page give the same links; they collapse before the join.
-    found = page_links(located, "page_url").select("page_url", "url", "href", "text").distinct()
-    links = found.join(homes, "page_url")
-    ranked = rank_relevant_pages(links, k, keywords, tiers, website="domain")
-    homepage = emails.join(homes, "page_url").select("domain", "email")
-    subpages = emails.join(ranked, "page_url").select("domain", "rank", "email")
-    return website_contacts(sites, homepage, subpages, known)
+    return website_contacts(sites, emails.join(wanted, "page_url"), known)

@@ -1,9 +1,8 @@
-"""Posting triage: clean, classify, drop what is known, rank, summarise.
+"""Posting triage: clean, drop what is known, classify, rank, summarise.
 
-Classification comes before the first shuffle on purpose. It is a projection, it needs nothing but
-the row, and after it the description, by far the widest column, is no longer needed: what the
-de-duplication shuffles is a narrow row. Postings without a link go before that as well, so they
-never meet in one task.
+De-duplication comes before classification on purpose: matching the patterns costs far more than
+shuffling a description, and most postings of a run have been seen before. Postings without a link
+go first of all, so they never meet in one task.
 """
 
 from __future__ import annotations
@@ -67,9 +66,8 @@ def classify(postings: DataFrame, keep_description: bool = False) -> DataFrame:
 
 def triage(postings: DataFrame, history: DataFrame, order=DISCOVERY_ORDER) -> DataFrame:
     """New classified postings: first of each link, unless the link is in `history`."""
-    classified = classify(clean_postings(postings))
-    first = first_per_key(classified, ["apply_link"], order)
-    return unseen(first, history, "apply_link", unique=True)
+    first = first_per_key(clean_postings(postings), ["apply_link"], order)
+    return classify(unseen(first, history, "apply_link", unique=True))
 
 
 def triage_v1(postings: DataFrame, history: DataFrame, order=DISCOVERY_ORDER) -> DataFrame:
