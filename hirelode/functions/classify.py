@@ -14,11 +14,13 @@ from hirelode import rules
 from hirelode.functions.text import (
     UNICODE,
     col,
+    contains_any,
     contains_whole_word,
     first_match,
     fold_umlauts,
     has_any,
     let,
+    literal,
     text_or_blank,
     utrim,
 )
@@ -33,7 +35,7 @@ def location_zone(
 
     def zone(folded: Column) -> Column:
         def test(places: Sequence[str]) -> Column:
-            return contains_whole_word(folded, *places) if whole_word else has_any(folded, places)
+            return contains_whole_word(folded, *places) if whole_word else contains_any(folded, places)
 
         return first_match(((test(p), label) for label, p in tiers), rules.ZONE_DEFAULT)
 
@@ -49,7 +51,7 @@ def is_in_region(
     words: Sequence[str] = rules.REGION_CITIES + rules.REGION_STATES,
 ) -> Column:
     """Whether a city or state of the region is named; blank is false."""
-    return let(fold_umlauts(location), lambda folded: has_any(folded, words))
+    return contains_any(fold_umlauts(location), words)
 
 
 # Label, alternative patterns, and for each pattern a word that any match of it contains.
@@ -71,41 +73,26 @@ def _any_hit(text: Column, cases: Iterable[tuple[str, Sequence[str]]]) -> Column
     return functools.reduce(operator.or_, (_hit(text, p, words) for p, words in cases))
 
 
-def skill_mask(description: Column | str, skills: Sequence[Skill]) -> Column:
-    """Bit i tells whether skill i is found: every pattern is matched once per row, and labels
-    and counts both follow from the mask."""
+def extract_skills(
+    description: Column | str,
+    skills: Sequence[Skill] = rules.CORE_SKILLS + rules.SUPPORTING_SKILLS,
+) -> Column:
+    """Labels of the skills found, in dictionary order. Each pattern is matched once per row;
+    counts follow from the labels (`label_hits`), which are unique in a dictionary."""
 
-    def mask(text: Column) -> Column:
-        bits = (
-            F.when(
-                _any_hit(text, ((p, [w]) for p, w in zip(patterns, words, strict=True))),
-                F.lit(1 << bit).cast("bigint"),
-            ).otherwise(0)
-            for bit, (_, patterns, words) in enumerate(skills)
+    def labels(text: Column) -> Column:
+        found = (
+            F.when(_any_hit(text, ((p, [w]) for p, w in zip(patterns, words, strict=True))), label)
+            for label, patterns, words in skills
         )
-        return functools.reduce(operator.add, bits)
-
-    return let(F.lower(text_or_blank(description)), mask)
-
-
-def mask_labels(mask: Column | str, skills: Sequence[Skill]) -> Column:
-    """Labels of a mask in dictionary order."""
-    found = [F.when(col(mask).bitwiseAND(1 << i) != 0, s[0]) for i, s in enumerate(skills)]
-    labels = F.array_compact(F.array(*found))
-    repeated = len({label for label, _, _ in skills}) < len(skills)
-    return F.array_distinct(labels) if repeated else labels
-
+        return F.array_compact(F.array(*found))
 
-def mask_hits(mask: Column | str, first: int, count: int) -> Column:
-    return F.bit_count(col(mask).bitwiseAND(((1 << count) - 1) << first))
+    return let(F.lower(text_or_blank(description)), labels)
 
 
-def extract_skills(
-    description: Column | str,
-    skills: Sequence[Skill] = rules.CORE_SKILLS + rules.SUPPORTING_SKILLS,
-) -> Column:
-    """Labels of the skills found, in dictionary order."""
-    return let(skill_mask(description, skills), lambda mask: mask_labels(mask, skills))
+def label_hits(labels: Column | str, skills: Sequence[Skill]) -> Column:
+    """How many of the labels found belong to a dictionary."""
+    return F.size(F.array_intersect(col(labels), F.expr(literal(s[0] for s in skills))))
 
 
 def german_level(
@@ -126,10 +113,11 @@ def german_level(
 def is_excluded_title(
     title: Column | str, patterns: Sequence[tuple[str, Sequence[str]]] = rules.EXCLUDED_TITLES
 ) -> Column:
-    """Whether any pattern matches: one regular expression behind one chain of byte searches."""
+    """Whether any pattern matches."""
     pattern = "|".join(p for p, _ in patterns)
     words = [w for _, ws in patterns for w in ws]
-    return let(F.lower(text_or_blank(title)), lambda text: _hit(text, pattern, words))
+    heading = F.lower(text_or_blank(title))
+    return let(heading, lambda t: contains_any(t, words) & t.rlike(UNICODE + pattern))
 
 
 def relevance_from_hits(excluded: Column, core_hits: Column, supporting_hits: Column) -> Column:
@@ -154,17 +142,20 @@ def relevance(
     supporting: Sequence[Skill] = rules.SUPPORTING_SKILLS,
 ) -> Column:
     """struct(label, score): title exclusion first, then weighted skill hits."""
-    mask = skill_mask(description, (*core, *supporting))
-
-    def graded(found: Column) -> Column:
-        hits = mask_hits(found, 0, len(core)), mask_hits(found, len(core), len(supporting))
-        return let(is_excluded_title(title), lambda out: relevance_from_hits(out, *hits))
-
-    return let(mask, graded)
+    labels = extract_skills(description, (*core, *supporting))
+    found = F.struct(
+        is_excluded_title(title).alias("excluded"),
+        let(labels, lambda x: F.struct(label_hits(x, core).alias("core"),
+                                       label_hits(x, supporting).alias("supporting"))).alias("hits"),
+    )
+    return let(
+        found,
+        lambda x: relevance_from_hits(x["excluded"], x["hits"]["core"], x["hits"]["supporting"]),
+    )
 
 
 def keep_title(title: Column | str, words: Sequence[str] = rules.ROLE_WORDS) -> Column:
-    return let(F.lower(col(title)), lambda heading: has_any(heading, words))
+    return contains_any(F.lower(col(title)), words)
 
 
 def it_related(title: Column | str, keyword: Column | str | None = None) -> Column:
@@ -173,14 +164,14 @@ def it_related(title: Column | str, keyword: Column | str | None = None) -> Colu
 
     def signal(text: Column) -> Column:
         words = contains_whole_word(text, *rules.KEYWORD_SIGNAL_WORDS)
-        return has_any(text, rules.KEYWORD_SIGNALS) | words
+        return contains_any(text, rules.KEYWORD_SIGNALS) | words
 
     def label(heading: Column) -> Column:
         return (
-            F.when(has_any(heading, rules.NON_IT_PHRASES), "no")
-            .when(has_any(heading, rules.IT_PHRASES), "yes")
+            F.when(contains_any(heading, rules.NON_IT_PHRASES), "no")
+            .when(contains_any(heading, rules.IT_PHRASES), "yes")
             .when(contains_whole_word(heading, *rules.IT_WORDS), "yes")
-            .when(has_any(heading, rules.KEYWORD_TITLE_WORDS) & let(searched, signal), "yes")
+            .when(contains_any(heading, rules.KEYWORD_TITLE_WORDS) & let(searched, signal), "yes")
             .otherwise("no")
         )
 

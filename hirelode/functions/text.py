@@ -76,14 +76,20 @@ def first_match(cases: Iterable[tuple[Column, object]], default: object) -> Colu
     return chosen.otherwise(default)
 
 
-def has_any(value: Column | str, words: Sequence[str]) -> Column:
-    """Whether a word occurs as a substring: a chain of byte searches, no regular expression.
+def needed(words: Iterable[str]) -> list[str]:
+    """Words that decide a substring test: one that contains another of the list does not."""
+    distinct = list(dict.fromkeys(words))
+    return [w for w in distinct if not any(o != w and o in w for o in distinct)]
 
-    A word that contains another one of the list decides nothing and is left out.
-    """
-    text, distinct = col(value), list(dict.fromkeys(words))
-    needed = [w for w in distinct if not any(o != w and o in w for o in distinct)]
-    return functools.reduce(operator.or_, (text.contains(w) for w in needed))
+
+def contains_any(value: Column | str, words: Iterable[str]) -> Column:
+    """Whether a word occurs as a substring; for short texts and long lists."""
+    return col(value).rlike(any_of(needed(words)))
+
+
+def has_any(value: Column | str, words: Iterable[str]) -> Column:
+    """The same as byte searches, for long texts and a few words."""
+    return functools.reduce(operator.or_, (col(value).contains(w) for w in needed(words)))
 
 
 def contains_whole_word(value: Column | str, *words: str) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from hirelode import rules
 from hirelode.functions.text import (
     col,
+    contains_any,
     contains_whole_word,
-    has_any,
     let,
     text_or_blank,
     unescape_html,
@@ -105,7 +105,7 @@ def is_sponsored(
     joined = F.lower(F.concat_ws(" ", *[text_or_blank(t) for t in texts]))
     if whole_word:
         return contains_whole_word(joined, *words)
-    return let(joined, lambda text: has_any(text, words))
+    return contains_any(joined, words)
 
 
 def is_sponsored_page(html: Column | str, word: str = rules.PAGE_SPONSORED_WORD) -> Column:
@@ -124,7 +124,7 @@ def page_score(
         score = F.when(F.regexp_count(where, F.lit("/")) <= shallow_slashes, shallow_points)
         score = score.otherwise(0)
         for worth, words in tiers:
-            score = score + F.when(has_any(where, words), worth).otherwise(0)
+            score = score + F.when(contains_any(where, words), worth).otherwise(0)
         return score
 
     return let(path, points)
@@ -146,10 +146,7 @@ def rank_relevant_pages(
 
     Candidates are links on the same domain with a keyword in address or text.
     """
-    def named(column: str) -> Column:
-        return let(F.lower(column), lambda text: has_any(text, keywords))
-
-    wanted = named("href") | named("text")
+    wanted = contains_any(F.lower("href"), keywords) | contains_any(F.lower("text"), keywords)
     resolved = links.filter(wanted).withColumn("_target", resolve_url(base, "href"))
     scored = resolved.filter(
         F.col("_target").isNotNull()

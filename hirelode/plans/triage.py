@@ -12,16 +12,15 @@ from pyspark.sql import functions as F
 
 from hirelode import rules
 from hirelode.functions.classify import (
+    extract_skills,
     german_level,
     is_excluded_title,
     is_in_region,
     it_related,
     keep_title,
+    label_hits,
     location_zone,
-    mask_hits,
-    mask_labels,
     relevance_from_hits,
-    skill_mask,
 )
 from hirelode.functions.text import first_non_empty, non_blank
 from hirelode.functions.urls import clean_url
@@ -42,25 +41,21 @@ def clean_postings(postings: DataFrame) -> DataFrame:
 def classify(postings: DataFrame, keep_description: bool = False) -> DataFrame:
     """Add zone, skills, language level, score and label."""
     core, supporting = rules.CORE_SKILLS, rules.SUPPORTING_SKILLS
-    known = core + supporting
+    # Columns of their own, because the next step refers to each of them more than once.
     tagged = postings.withColumns(
         {
             "location_zone": location_zone("location"),
             "german_level": german_level("description"),
-            "_mask": skill_mask("description", known),
+            "skills": extract_skills("description", core + supporting),
             "_excluded": is_excluded_title("title"),
         }
     ).withColumns(
-        {
-            "skills": mask_labels("_mask", known),
-            "_core": mask_hits("_mask", 0, len(core)),
-            "_supporting": mask_hits("_mask", len(core), len(supporting)),
-        }
+        {"_core": label_hits("skills", core), "_supporting": label_hits("skills", supporting)}
     )
     graded = relevance_from_hits(F.col("_excluded"), F.col("_core"), F.col("_supporting"))
     result = tagged.withColumns(
         {"relevance_score": graded["score"], "relevance": graded["label"]}
-    ).drop("_mask", "_excluded", "_core", "_supporting")
+    ).drop("_excluded", "_core", "_supporting")
     return result if keep_description else result.drop("description")
 
 

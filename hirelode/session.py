@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Recording the call site of every column costs more than building the plans does.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
