@@ -60,6 +60,25 @@ def triage_first_generation(spark, sf):
     return fresh.select("posting_id", "apply_link", "title", "location", "relevance")
 
 
+@query
+def posting_rows(spark, sf):
+    return triage_plan.to_posting_rows(triaged(spark, sf))
+
+
+@query
+def published_rows(spark, sf):
+    graded = triage_plan.classify(triage_plan.clean_postings(fx.postings(spark, sf)))
+    kept = "posting_id", "is_history"
+    rows = triage_plan.to_posting_rows(graded, kept).withColumnRenamed("posting_id", "pos")
+    zone = F.when(F.col("pos") % 2 == 0, "").otherwise(F.col("Location_Zone"))
+    new = triage_plan.publish(
+        rows.filter("NOT is_history").withColumn("Location_Zone", zone), rows.filter("is_history")
+    )
+    return new.select(
+        "pos", F.col("Apply Link").alias("link"), F.col("Location_Zone").alias("zone")
+    )
+
+
 # --- A: files ----------------------------------------------------------------
 
 

@@ -45,19 +45,18 @@ def canonical_url(url: Column | str) -> Column:
 
 def _without_dots(path: Column) -> Column:
     """Resolve "." and ".." segments of a rooted path."""
-    segments = F.split(F.substring(path, 2, 1_000_000), "/")
-    empty = F.array().cast("array<string>")
+    segments = F.split(path, "/")
     kept = F.reduce(
         segments,
-        empty,
+        F.array().cast("array<string>"),
         lambda done, part: F.when(
             part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
         )
         .when(part == ".", done)
         .otherwise(F.concat(done, F.array(part))),
     )
-    tail = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
-    resolved = F.concat(F.lit("/"), F.array_join(kept, "/"), tail)
+    folder = F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
+    resolved = F.regexp_replace(F.concat(F.array_join(kept, "/"), folder), "^(?!/)", "/")
     return F.when(path.rlike(r"/\.\.?(?:/|$)"), resolved).otherwise(path)
 
 

@@ -34,7 +34,11 @@ HEAD = r"(?is)<head\b.*?(?:</head\s*>|\z)"
 ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 # An anchor ends at its closing tag, at the next anchor or with the page.
 ANCHOR = rf"(?is)(<a\s{ATTRIBUTES}>.*?(?=</a\s*>|<a\s|\z))"
-HREF = r"""(?is)^<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*?(?<=\s)href\s*=\s*"""
+# The attributes before href are stepped over whole, so that "data-href" is not mistaken for it.
+HREF = (
+    r"""(?is)^<a(?:[\s/]*+(?!href\s*=)[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+"""
+    r"""[\s/]*+href\s*=\s*"""
+)
 BLOCK_TAGS = (
     r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li"
     r"|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>"

@@ -7,6 +7,8 @@ go first of all, so they never meet in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from hirelode.functions.classify import (
 )
 from hirelode.functions.text import first_non_empty, non_blank
 from hirelode.functions.urls import clean_url
-from hirelode.operators.dedup import DISCOVERY_ORDER, first_per_key, unseen
+from hirelode.operators.dedup import DISCOVERY_ORDER, first_per_key, insert_if_absent, unseen
 
 PLACEHOLDERS = {"title": "Unknown Title", "company": "Unknown Company", "location": "Germany"}
 
@@ -78,8 +80,8 @@ def with_relevance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("relevance", it_related("title", "keyword"))
 
 
-def to_posting_rows(triaged: DataFrame) -> DataFrame:
-    """Triaged postings in the layout of the output file."""
+def to_posting_rows(triaged: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Triaged postings in the layout of the output file, after the columns to `keep`."""
     source = {
         "Scraped Date": F.date_format("scraped_at", rules.SCRAPED_FORMAT),
         "Time Filter": F.col("time_filter"),
@@ -94,4 +96,18 @@ def to_posting_rows(triaged: DataFrame) -> DataFrame:
         "Relevance_Score": F.col("relevance_score").cast("string"),
         "Relevance": F.col("relevance"),
     }
-    return triaged.select(*[source[name].alias(name) for name in rules.POSTING_FIELDS])
+    return triaged.select(*keep, *[source[name].alias(name) for name in rules.POSTING_FIELDS])
+
+
+def publish(
+    batch: DataFrame,
+    target: DataFrame,
+    columns: Sequence[str] = rules.POSTING_FIELDS,
+    order: Sequence[str] = ("pos",),
+) -> DataFrame:
+    """Rows of a posting file that the target lacks; blank zones are filled from the location."""
+    rows = batch
+    if "Location_Zone" in columns:
+        given = F.nullif("Location_Zone", F.lit(""))
+        rows = batch.withColumn("Location_Zone", F.coalesce(given, location_zone("Location")))
+    return insert_if_absent(target, rows, columns, "Apply Link", order)
