@@ -641,7 +641,7 @@ def cleaned_words(spark, sf):
         "doc_id",
         F.size("words").alias("n_tokens"),
         F.md5(text.clean_text("text")).alias("cleaned"),
-        F.md5(F.array_join(F.array_sort("words"), " ")).alias("tokens"),
+        F.md5(F.array_join(F.sort_array("words"), " ")).alias("tokens"),
     )
 
 

@@ -18,8 +18,9 @@ OBFUSCATED = (
     r"[A-Za-z\u017f\u212a0-9.-]+\s*"
     r"(?:\.|\([dD][oO][tT]\)|\[[dD][oO][tT]\]|\s[dD][oO][tT]\s)\s*[A-Za-z\u017f\u212a]{2,}\b"
 )
-# Occurs in every text OBFUSCATED finds something in, and costs a fraction of it.
-AT_SIGN = r"(?U)[@(\[\s](?:(?<=@)|[aA][tT][)\]\s])"
+# A spelled at-sign; it or "@" is in every text OBFUSCATED finds something in, and looking for
+# the two costs a fraction.
+AT_SIGN = r"(?Us)[aA][tT][)\]\s](?<=[(\[\s]..[)\]\s])"
 # Applied in this order (fixed values).
 SPELLED = (
     ("(at)", "@"), ("[at]", "@"), (" at ", "@"),
@@ -42,7 +43,8 @@ def find_emails(text: Column | str) -> Column:
     def found(text: Column) -> Column:
         plain = F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(f"({PLAIN})")))
         spelled = F.when(
-            text.rlike(AT_SIGN), F.regexp_extract_all(text, F.lit(f"({OBFUSCATED})"))
+            text.contains("@") | text.rlike(AT_SIGN),
+            F.regexp_extract_all(text, F.lit(f"({OBFUSCATED})")),
         )
         undone = F.transform(F.coalesce(spelled, none), undo_obfuscation)
         return F.array_distinct(F.concat(F.coalesce(plain, none), undone))

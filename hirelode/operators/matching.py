@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelode import rules
-from hirelode.functions.text import col, round_half_even, tokens
+from hirelode.functions.text import col, let, round_half_even, tokens
 from hirelode.operators.dedup import top_k_per_group
 from hirelode.operators.joins import skew_join
 
@@ -24,12 +24,12 @@ MAX_ROLES = 1_000
 def keyword_match(job_tokens: Column | str, cv_tokens: Column | str) -> Column:
     """Matched and missing words of a posting, their number and the percentage matched."""
     job, cv = col(job_tokens), col(cv_tokens)
-    matched = F.array_sort(F.array_intersect(job, cv))
+    matched = F.sort_array(F.array_intersect(job, cv))
     total = F.size(job)
     percentage = F.size(matched) / F.greatest(total, F.lit(1)) * 100
     return F.struct(
         matched.alias("matched_keywords"),
-        F.array_sort(F.array_except(job, cv)).alias("missing_keywords"),
+        F.sort_array(F.array_except(job, cv)).alias("missing_keywords"),
         F.size(matched).alias("matched_count"),
         total.alias("total_keywords"),
         round_half_even(percentage).alias("match_percentage"),
@@ -47,9 +47,14 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(vector: Column | str) -> Column:
     """Vector of length 1; a zero vector stays as it is."""
-    values = as_doubles(vector)
-    norm = F.sqrt(dot(values, values))
-    return F.when(norm > 0, F.transform(values, lambda x: x / norm)).otherwise(values)
+
+    def scaled(values: Column) -> Column:
+        norm = F.sqrt(dot(values, values))
+        return let(
+            norm, lambda n: F.when(n > 0, F.transform(values, lambda x: x / n)).otherwise(values)
+        )
+
+    return let(as_doubles(vector), scaled)
 
 
 def cosine_of_units(a: Column | str, b: Column | str) -> Column:
@@ -66,7 +71,7 @@ def role_list(roles: DataFrame, limit: int = MAX_ROLES) -> DataFrame:
     some = roles.limit(limit + 1).select(
         F.struct("role_idx", "role", unit("embedding").alias("vector")).alias("role")
     )
-    gathered = some.agg(F.array_sort(F.collect_list("role")).alias("roles"))
+    gathered = some.agg(F.sort_array(F.collect_list("role")).alias("roles"))
     excess = F.raise_error(F.lit(f"more than {limit} roles"))
     return gathered.select(
         F.when(F.size("roles") <= limit, F.col("roles")).otherwise(excess).alias("roles")
