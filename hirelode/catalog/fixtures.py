@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hirelode import rules
 from hirelode.functions.text import literal
 from hirelode.functions.urls import url_domain
+from hirelode.session import spread
 
 TITLES = (
     "Working Student Data Engineer", "Werkstudent Marketing Data", "Intern Backend Developer",
@@ -52,8 +53,13 @@ PAGE_WORDS = ("the", "der", "que", "nicht")
 PAGE_POINTS = ((100, ("/de",)), (70, ("th",)), (40, ("/en",)))
 
 
+# Tables whose rows take long: texts, page source, and the orders that become postings.
+COSTLY = ("documents", "pages", "orders")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in COSTLY else rows
 
 
 def pick(words: Sequence[str], number: Column | str) -> Column:

@@ -18,15 +18,13 @@ SALTS = 64
 
 
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys holding more than 1/share of all rows and more than `rows` rows.
+    """Keys holding more than 1/share of the rows with a key, and more than `rows` rows.
 
     Counting combines per task first, so the hot keys themselves shuffle one row per task.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    return counts.filter(
-        F.col(key).isNotNull() & (F.col("_n") > rows) & (F.col("_n") * share > total)
-    ).select(key)
+    return counts.filter((F.col("_n") > rows) & (F.col("_n") * share > total)).select(key)
 
 
 def skew_join(

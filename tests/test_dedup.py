@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hirelode import rules
 from hirelode.operators import dedup, joins
 
 ROWS = 600
@@ -103,6 +104,12 @@ def test_unique_keywords(spark):
     assert got("both") == got("unknown") == [0, 1]
 
 
+def test_search_keywords_per_run_mode(spark):
+    df = spark.createDataFrame(rules.keyword_rows(), "pos int, keyword string, mode string")
+    sizes = [dedup.unique_keywords(df, mode).count() for mode in ("data", "devops", "both")]
+    assert sizes == [31, 29, 60]
+
+
 def test_new_domains_keeps_listings_without_a_website(spark):
     rows = [(1, "a.de"), (2, "a.de"), (3, None), (4, None), (5, "b.de"), (6, "")]
     listings = spark.createDataFrame(rows, "listing_idx int, domain string")
