@@ -21,7 +21,11 @@ DISCOVERY_ORDER = ("keyword_idx", "page_num", "card_idx", "posting_id")
 def top_k_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column | str], k: int, rank: str = "rank"
 ) -> DataFrame:
-    """First `k` rows of each group, with their position."""
+    """First `k` rows of each group, with their position.
+
+    Each task keeps `k` rows per group before the shuffle, as long as `k` does not exceed
+    `spark.sql.optimizer.windowGroupLimitThreshold` (1,000 unless set).
+    """
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 

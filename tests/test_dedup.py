@@ -58,6 +58,7 @@ def test_skew_join_spreads_the_hot_key(skewed, spark, plan):
     df, _ = skewed
     right = spark.createDataFrame([("hot", 1)], "apply_link string, v int")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         joined = joins.skew_join(df, right, "apply_link", "inner", share=10, rows=0, salts=16)
         assert joined.count() == ROWS // 3
@@ -65,7 +66,8 @@ def test_skew_join_spreads_the_hot_key(skewed, spark, plan):
         parts = joined.select(F.spark_partition_id().alias("p")).distinct().count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert parts >= 1
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts == 4
 
 
 def test_unseen_drops_blank_and_known_keys(skewed, spark):
@@ -134,3 +136,17 @@ def test_fill_from_lookup(spark):
     assert {r.n: r["Career Page"] for r in got.collect()} == {
         "1": "g/jobs", "2": "b/jobs", "3": " x ", "4": "", "5": None, "6": "",
     }
+
+
+def test_history_join_reuses_the_partitioning_of_first_per_key(skewed, spark, plan):
+    df, _ = skewed
+    rows = df.filter("apply_link IS NOT NULL")
+    seen = spark.createDataFrame([("k1",)], "apply_link string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = dedup.first_per_key(rows, ["apply_link"])
+        text = plan(dedup.unseen(first, seen, "apply_link", unique=True))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One shuffle of the rows, one of the distinct known keys, none between the two operators.
+    assert text.count("Exchange hashpartitioning") == 2
