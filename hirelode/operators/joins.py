@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from hirelode.functions.text import text_or_blank, utrim
 
@@ -18,15 +19,29 @@ SALTS = 64
 
 
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys holding more than 1/share of the rows with a key, and more than `rows` rows.
+    """Keys holding more than 1/share of all rows and more than `rows` rows; null is a key.
 
     Counting combines per task first, so the hot keys themselves shuffle one row per task.
     """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     return counts.filter((F.col("_n") > rows) & (F.col("_n") * share > total)).select(key)
 
 
+def find_hot(
+    df: DataFrame, key: str, share: int = HOT_SHARE, rows: int = HOT_ROWS
+) -> DataFrame | None:
+    """The hot keys with a mark, ready to broadcast; None if there are none.
+
+    Counts the keys once, now. What comes back is at most `share` keys.
+    """
+    hot = hot_keys(df, key, share, rows).collect()
+    if not hot:
+        return None
+    schema = StructType([StructField(key, df.schema[key].dataType)])
+    return F.broadcast(df.sparkSession.createDataFrame(hot, schema).withColumn("_hot", F.lit(True)))
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -40,12 +55,14 @@ def skew_join(
 ) -> DataFrame:
     """Join `left` with `right`, which has one row per key; `how` is about left rows.
 
-    Rows of a hot key, and rows without a key, are spread by a hash of the row or of its
-    `spread_by` columns; the few right-hand rows of hot keys are repeated once per salt. Nothing
-    else is repeated. `counted` is a cheaper table with the keys of `left`, if there is one.
+    Without hot keys this is the plain join. Otherwise rows of a hot key, and rows without a key,
+    are spread by a hash of the row or of its `spread_by` columns, and the few right-hand rows of
+    hot keys are repeated once per salt. Nothing else is repeated. `counted` is a cheaper table
+    with the keys of `left`, if there is one.
     """
-    hot = hot_keys(left if counted is None else counted, key, share, rows)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    hot = find_hot(left if counted is None else counted, key, share, rows)
+    if hot is None:
+        return left.join(right, key, how)
     spread = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
     salted = left.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hirelode.functions.classify import zone_rank
 from hirelode.operators.dedup import DISCOVERY_ORDER
+from hirelode.operators.joins import HOT_ROWS, HOT_SHARE, find_hot
 from hirelode.session import materialize
 
 # monotonically_increasing_id: partition number above bit 33, position in the partition below.
@@ -68,19 +69,31 @@ def previous_value(
     value: str,
     chunk: Column,
     alias: str = "previous",
+    share: int = HOT_SHARE,
+    rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Last non-null `value` before each row of its group.
 
-    A group may hold a third of all rows, so it is cut into chunks, `chunk` being any expression
-    that never decreases along `order`. Rows meet per group and chunk only; a value that reaches
-    over a chunk border comes from the summary of one row per group and chunk.
+    A group may hold a third of all rows. Hot groups are cut into chunks, `chunk` being any
+    expression that never decreases along `order`; a value that reaches over a chunk border comes
+    from a summary of one row per hot group and chunk. Other groups stay whole.
     """
-    # A struct is never null, so rows with a null in the group columns join like the others.
-    pieces = df.withColumn("_group", F.struct(*group)).withColumn("_chunk", chunk)
     before = Window.unboundedPreceding, -1
+    # A struct is never null, so rows with a null in the group columns join like the others.
+    grouped = df.withColumn("_group", F.struct(*group))
+    hot = find_hot(grouped.select("_group"), "_group", share, rows)
+    if hot is None:
+        whole = Window.partitionBy(*group).orderBy(*order).rowsBetween(*before)
+        return df.withColumn(alias, F.last(value, ignorenulls=True).over(whole))
+    marked = grouped.join(hot, "_group", "left")
+    pieces = marked.withColumn("_chunk", F.when(F.col("_hot"), chunk))
     inside = Window.partitionBy("_group", "_chunk").orderBy(*order).rowsBetween(*before)
     position = F.when(F.col(value).isNotNull(), F.struct(*order))
-    summary = pieces.groupBy("_group", "_chunk").agg(F.max_by(value, position).alias("_final"))
+    summary = (
+        pieces.filter("_hot")
+        .groupBy("_group", "_chunk")
+        .agg(F.max_by(value, position).alias("_final"))
+    )
     earlier = Window.partitionBy("_group").orderBy("_chunk").rowsBetween(*before)
     carried = summary.select(
         "_group", "_chunk", F.last("_final", ignorenulls=True).over(earlier).alias("_carried")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from hirelode.operators import order, pages
@@ -16,24 +17,27 @@ def test_global_rank_equals_a_sort(spark):
     assert got == {r[0]: i + 1 for i, r in enumerate(wanted)}
 
 
-def test_previous_value_equals_brute_force(spark):
+@pytest.mark.parametrize("rows", [10_000, 400, 0])
+def test_previous_value_equals_brute_force(spark, rows):
+    hot = {"share": 10, "rows": rows}
     chance = random.Random(4)
-    rows = []
+    data = []
     for i in range(1500):
         group = "hot" if i % 3 == 0 else chance.choice(["a", "b", None])
-        rows.append((group, i // 2, i, chance.choice([None, None, f"v{i}"])))
-    df = spark.createDataFrame(rows, "g string, t int, id int, v string").repartition(5)
-    result = order.previous_value(df, ["g"], ["t", "id"], "v", F.floor(F.col("t") / 10))
+        data.append((group, i // 2, i, chance.choice([None, None, f"v{i}"])))
+    df = spark.createDataFrame(data, "g string, t int, id int, v string").repartition(5)
+    result = order.previous_value(df, ["g"], ["t", "id"], "v", F.floor(F.col("t") / 10), **hot)
     last, wanted = {}, {}
-    for g, _, i, v in rows:
+    for g, _, i, v in data:
         wanted[i] = last.get(g)
         last[g] = v if v is not None else last.get(g)
     assert {r.id: r.previous for r in result.collect()} == wanted
 
 
-def test_previous_value_never_gathers_a_group(spark, plan):
+def test_previous_value_never_gathers_a_hot_group(spark, plan):
     df = spark.range(10).selectExpr("id % 2 AS g", "id AS t", "cast(id AS string) AS v")
-    text = plan(order.previous_value(df, ["g"], ["t"], "v", F.floor(F.col("t") / 3)))
+    chunk = F.floor(F.col("t") / 3)
+    text = plan(order.previous_value(df, ["g"], ["t"], "v", chunk, share=10, rows=0))
     windows = [line for line in text.splitlines() if "Window [last(v" in line]
     assert windows and all("_chunk" in line for line in windows)
 
