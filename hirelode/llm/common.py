@@ -15,6 +15,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 ARROW_TYPES = {
     "string": pa.string(), "binary": pa.binary(), "bigint": pa.int64(), "int": pa.int32(),
     "double": pa.float64(), "boolean": pa.bool_(),
+    "array<struct<kind:string,start:bigint,end:bigint,value:bigint>>": pa.list_(pa.struct([
+        ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64()),
+    ])),
 }
 
 

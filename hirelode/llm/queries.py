@@ -5,21 +5,90 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelode.llm import byte_bpe, packing, simhash, token_counts
-from hirelode.llm.common import table
+from hirelode.llm import (
+    byte_bpe, hnsw, maxscore, packing, quality, secrets, simhash, substring_dedup, token_counts, toxicity,
+)
+from hirelode.llm.common import fold, table
+from hirelode.session import materialize
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+QUALITY_THRESHOLD, TOXIC_THRESHOLD = 0.3, 0.5
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of documents that a document of a smaller doc_id holds as well."""
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every 50th vector."""
+    component = lambda x: F.floor(F.lit(256.0) * x)
+    rows = hnsw.finite(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select(
+        F.col("key").alias("vec_id"), F.transform("vector", component).alias("weights")
+    )
+    queries = rows.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    found = maxscore.search(queries, rows, 5)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors found of every 20th vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = materialize(hnsw.build(vectors))
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return hnsw.search(index, queries).select("query_id", "rank", "vec_id", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word-piece lengths of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_RANKS, keep=["doc_id"])
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return judged(quality.score_texts(docs, model, keep=["doc_id"]), QUALITY_THRESHOLD)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.train(docs), keep=["doc_id"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "network")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return judged(toxicity.score_texts(docs, model, keep=["doc_id"]), TOXIC_THRESHOLD)
+
+
+def judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", (fold() == 0).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -46,9 +115,34 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_maxscore": op2_maxscore,
+    "op3_hnsw": op3_hnsw,
     "op4_token_counts": op4_token_counts,
+    "op5_quality": op5_quality,
+    "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_maxscore": """
+        WITH v AS (
+            SELECT row_number() OVER () AS place, vec_id,
+                   [floor(256.0 * CAST(x AS DOUBLE)) FOR x IN embedding] AS w
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT q.place AS asked, q.vec_id AS query_id, c.vec_id,
+                   CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM s
+        QUALIFY rank <= 5
+    """,
+}
