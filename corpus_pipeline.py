@@ -27,20 +27,13 @@ def counted(docs: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; trained on the labelled ones among them."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_texts(docs, model, out="_quality")
-    return scored.filter(F.col("_quality") >= QUALITY_THRESHOLD).drop("_quality")
+    scored = quality.score_texts(docs, model, out="__llm_quality")
+    return scored.filter(F.col("__llm_quality") >= QUALITY_THRESHOLD).drop("__llm_quality")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of the smallest doc_id; equal rows count once.
-
-    Rows without a doc_id are in no component and stay.
-    """
-    classes = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL")
-    first = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.union(docs.filter("doc_id IS NULL"))
+    """Of each component of near copies the document of the smallest doc_id stays."""
+    return simhash.keep_first(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,15 +250,18 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE
 ) -> DataFrame:
-    """(key, fp, component_id) of every row: the smallest key that links of fingerprints reach.
+    """(key, fp, component_id, text_hash) of every row: the smallest key that links of fingerprints reach.
 
     Two rows are linked if their fingerprints differ in at most `distance` bits; texts without words
     (null, empty, blank) have fingerprint zero and are linked like any others. Repeated rows, and
-    rows that share a key, stay and are classed by their own text. Other columns are not looked at;
-    an empty table gives no rows. A null key is not counted when the smallest is looked for.
+    rows that share a key, stay and are classed by their own text; text_hash tells them apart (zero
+    for null). Other columns are not looked at; an empty table gives no rows. A null key is not
+    counted when the smallest is looked for.
     """
-    named = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    marked = materialize(fingerprints(named, "text", size, keep=["key"]))
+    named = df.select(
+        F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), text_hash(text).alias("text_hash")
+    )
+    marked = materialize(fingerprints(named, "text", size, keep=["key", "text_hash"]))
     fps = marked.groupBy("fp").agg(F.min("key").alias("first"))
     member = components(links(fps.select("fp"), distance), "u", "v", "fp", "root")
     linked = member.join(fps, "fp")
@@ -267,7 +270,28 @@ def near_duplicates(
     classes = fps.join(classed, "fp", "left").select(
         "fp", F.coalesce("component_id", "first").alias("component_id")
     )
-    return marked.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return marked.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id", "text_hash")
+
+
+def text_hash(text: str) -> Column:
+    return F.when(F.col(f"`{text}`").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(f"`{text}`"))
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each component of near-duplicates one row: that of the smallest key; columns stay.
+
+    If rows share that key, the text with the smallest hash stays, once. A component of rows
+    without any key has nothing to tell which is first: its rows all stay.
+    """
+    classes = near_duplicates(df.select(f"`{key}`", f"`{text}`"), key, text)
+    first = classes.filter(F.col(f"`{key}`") == F.col("component_id"))
+    kept = first.groupBy(F.col(f"`{key}`").alias("__llm_key")).agg(F.min("text_hash").alias("__llm_hash"))
+    hashed = df.withColumn("__llm_text", text_hash(text))
+    same = (F.col(f"`{key}`") == F.col("__llm_key")) & (F.col("__llm_text") == F.col("__llm_hash"))
+    rows = hashed.join(kept, same, "left_semi").dropDuplicates([key, "__llm_text"])
+    unkeyed = classes.filter("component_id IS NULL").select(F.col("text_hash").alias("__llm_hash")).distinct()
+    loose = hashed.filter(F.col(f"`{key}`").isNull()).join(unkeyed, F.col("__llm_text") == F.col("__llm_hash"), "left_semi")
+    return rows.union(loose).select(*[f"`{c}`" for c in df.columns])
 
 
 def hex_digits(fp: str = "fp") -> Column:

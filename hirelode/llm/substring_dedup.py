@@ -180,9 +180,9 @@ def remove_repeats(
     white space, go; all other rows stay, those with a null key or text as they are. Columns stay.
     """
     spans = repeated_spans(df, key, text, least_span).groupBy(key).agg(
-        F.transform(F.collect_list(F.struct("start", "end")), lambda s: F.concat_ws(":", s["start"], s["end"])).alias("_s")
-    ).select(F.col(key).alias("_key"), F.array_join("_s", ",").alias("_spans"))
-    joined = df.join(spans, F.col(f"`{key}`") == F.col("_key"), "left").drop("_key")
+        F.transform(F.collect_list(F.struct("start", "end")), lambda s: F.concat_ws(":", s["start"], s["end"])).alias("__llm_s")
+    ).select(F.col(key).alias("__llm_key"), F.array_join("__llm_s", ",").alias("__llm_spans"))
+    joined = df.join(spans, F.col(f"`{key}`") == F.col("__llm_key"), "left").drop("__llm_key")
 
     def compute(texts, found):
         cleaned, left = [], []
@@ -193,5 +193,5 @@ def remove_repeats(
             left.append(not listed or bool(value.strip()))
         return cleaned, left
 
-    made = with_columns(joined, [text, "_spans"], {text: "string", "_left": "boolean"}, compute)
-    return made.filter("_left").select(*[f"`{c}`" for c in df.columns])
+    made = with_columns(joined, [text, "__llm_spans"], {text: "string", "__llm_left": "boolean"}, compute)
+    return made.filter("__llm_left").select(*[f"`{c}`" for c in df.columns])
