@@ -119,6 +119,8 @@ def root_keys(distance: int) -> list[tuple[int, int]]:
 def refine(mask: int, distance: int) -> list[int]:
     """Masks with more bits: of distance + 1 parts of the other bits one must be equal."""
     others = [b for b in range(64) if not mask >> b & 1]
+    if not others:
+        return [mask]
     parts = np.array_split(np.array(others), min(distance + 1, len(others)))
     return [mask | sum(1 << int(b) for b in part) for part in parts]
 

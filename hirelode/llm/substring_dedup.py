@@ -151,13 +151,15 @@ def repeated_spans(
 
 
 def shrink(text: str, start: int, end: int) -> tuple[int, int]:
-    """The part of a span that begins and ends at white space or the ends of the text."""
-    if start and not text[start - 1].isspace():
-        while start < end and not text[start].isspace():
-            start += 1
-    if end < len(text) and not text[end].isspace():
-        while end > start and not text[end - 1].isspace():
-            end -= 1
+    """The whole words of a span, without the white space around them."""
+    while 0 < start < end and not text[start - 1].isspace():
+        start += 1
+    while start < end < len(text) and not text[end].isspace():
+        end -= 1
+    while start < end and text[start].isspace():
+        start += 1
+    while start < end and text[end - 1].isspace():
+        end -= 1
     return start, end
 
 

@@ -26,7 +26,7 @@ WINDOW, SLACK = 96, 40
 #: Labelled documents of either class that are learned from, at most; a documented bound.
 SAMPLE_PER_CLASS = 1_500
 ORDINARY_SIZE, TOXIC_SIZE = 110_000, 2_048
-LEVEL = 6
+LEVEL = 12
 #: Share of the sample that the dictionaries learn from; the rest calibrates the score.
 LEARN = 0.6
 #: A word or beginning tells if this share of toxic documents has it, so many times the ordinary share.
@@ -79,11 +79,13 @@ def telling_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 
 
 def trained(size: int, samples: list[bytes]) -> bytes:
-    """A dictionary trained on the samples; their bytes themselves where they are too few to train on."""
+    """A dictionary trained on the samples; their own bytes where they are too few to train on."""
+    distinct = dict.fromkeys(samples)
     try:
-        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+        made = zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[:size]
+        made = b""
+    return made if any(s.strip() in made for s in distinct if s.strip()) else b"".join(distinct)[:size]
 
 
 @dataclass
