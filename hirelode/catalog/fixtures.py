@@ -150,10 +150,10 @@ def raw_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents that have a vector; the title vector is the same."""
-    documents = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    """every document, with a vector where there is one; the title vector is the same."""
+    documents = table(spark, sf_dir, "documents")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return documents.join(vectors, documents.doc_id == vectors.vec_id).select(
+    return documents.join(vectors, documents.doc_id == vectors.vec_id, "left").select(
         F.col("doc_id").alias("job_id"),
         F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("title"),
         F.col("text").alias("description"),
@@ -165,7 +165,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return items.join(vectors, items.item_id == vectors.vec_id).select(
+    return items.join(vectors, items.item_id == vectors.vec_id, "left").select(
         F.col("item_id").alias("cv_id"), "text", "embedding"
     )
 
@@ -179,18 +179,25 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Five CVs per posting, spread over the 40 items every scale has.
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every posting is held against every role: (job_id, role_idx)."""
+    indexes = roles(spark, sf_dir).agg(F.collect_set("role_idx")).scalar()
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("job_id"), F.explode(indexes).alias("role_idx")
+    )
+
+
+# Five CVs per posting, spread over all items.
 PAIRS_PER_JOB = 5
 CV_STEP = 8
-CV_COUNT = 40
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which CV was sent for which posting."""
-    documents = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    items = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1))).scalar()
     steps = F.explode(F.sequence(F.lit(0), F.lit(PAIRS_PER_JOB - 1))).alias("step")
-    return documents.select(F.col("doc_id").alias("job_id"), steps).select(
-        "job_id", ((F.col("job_id") + F.col("step") * CV_STEP) % CV_COUNT).alias("cv_id")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), steps).select(
+        "job_id", ((F.col("job_id") + F.col("step") * CV_STEP) % items).alias("cv_id")
     )
 
 
@@ -254,6 +261,17 @@ def careers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def search_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search keyword of either list per part, in changing letter case."""
+    data = pick(rules.DATA_KEYWORDS, "p_partkey")
+    listed = F.when(F.col("p_size") % 2 == 0, data).otherwise(pick(rules.DEVOPS_KEYWORDS, "p_partkey"))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("pos"),
+        F.when(F.col("p_partkey") % 3 == 0, F.upper(listed)).otherwise(listed).alias("keyword"),
+        F.when(F.col("p_size") % 2 == 0, "data").otherwise("devops").alias("mode"),
+    )
+
+
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as keywords in changing letter case, half of them per run mode."""
     name = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(

@@ -357,7 +357,7 @@ def host_links(spark: SparkSession, sf: str) -> DataFrame:
         urls.url_domain("url").alias("domain"),
     )
     homes = fx.hosts(spark, sf)
-    linked = joins.skew_join(every, homes, "domain", "inner")
+    linked = every.join(homes, "domain")
     return linked.filter("page_id <> home_id").select(
         "domain", F.col("home_url").alias("url"), "href", "text"
     )
@@ -473,7 +473,18 @@ def website_contacts(spark, sf):
 @query
 def tracked_websites(spark, sf):
     sites = fx.listings(spark, sf).withColumn("domain", urls.url_domain("raw_url"))
-    return contacts.tracked_websites(sites, fx.known_domains(spark, sf))
+    known = fx.known_domains(spark, sf)
+    gone = known.select(F.concat(F.lit("gone."), "domain").alias("domain"))
+    return contacts.tracked_websites(sites, known.union(gone))
+
+
+@query
+def tracked_emails(spark, sf):
+    raw = fx.raw_emails(spark, sf)
+    new = raw.select(emails.undo_obfuscation("value").alias("email"), "email_id")
+    untidy = F.concat(F.lit("  HTTP://old."), emails.undo_obfuscation("value"), F.lit(" ")).alias("email")
+    known = raw.filter("email_id % 5 = 0").select(untidy)
+    return contacts.tracked_emails(new.filter("email_id % 5 > 0"), known)
 
 
 @query
@@ -490,7 +501,7 @@ def harvested_profiles(spark, sf):
     known = fx.table(spark, sf, "pages").select(
         F.concat(F.lit("/d"), F.regexp_extract("html", '<a href="/d([^"?]*)"', 1)).alias("profile_url")
     ).filter(F.col("profile_url").endswith("n"))
-    return pages.harvest_profiles(links, known, "/d")
+    return order.numbered(pages.harvest_profiles(links, known, "/d"))
 
 
 # --- C: text and rules -------------------------------------------------------
@@ -498,8 +509,7 @@ def harvested_profiles(spark, sf):
 
 @query
 def folded_text(spark, sf):
-    german = fx.table(spark, sf, "documents").filter("lang = 'de'")
-    return german.select("doc_id", text.fold_umlauts("text").alias("folded"))
+    return fx.table(spark, sf, "documents").select("doc_id", text.fold_umlauts("text").alias("folded"))
 
 
 @query
@@ -588,6 +598,12 @@ REGISTRY["keywords_devops"] = _keywords_of("devops")
 REGISTRY["keywords_both"] = _keywords_of("both")
 
 
+@query
+def search_keywords(spark, sf):
+    """The lists of the first generation, each keyword as often as parts ask for it."""
+    return dedup.unique_keywords(fx.search_keywords(spark, sf), "both").select("pos", "keyword", "mode")
+
+
 @query
 def search_urls(spark, sf):
     odd = F.concat("keyword", F.lit(" ~*+&ü/"), "page_num")
@@ -837,7 +853,8 @@ def ranked_postings(spark, sf):
 @query
 def sorted_postings(spark, sf):
     relevant = report.only_relevant(triaged(spark, sf))
-    return order.sort_postings(relevant).select("posting_id", "location_zone", "relevance_score")
+    columns = "posting_id", "location_zone", "relevance_score"
+    return order.numbered(order.sort_postings(relevant).select(*columns))
 
 
 @query
@@ -861,11 +878,9 @@ def previous_redirect(spark, sf):
 @query
 def session_cap(spark, sf):
     profiles = fx.visits(spark, sf).select("profile_url", "event_id")
-    urls_seen = profiles.filter("event_id % 3 = 0").select("profile_url")
-    visitable = profiles.select(
-        F.concat("profile_url", F.lit("/"), F.col("event_id") % 7).alias("profile_url")
-    ).distinct()
-    fresh = dedup.unseen(visitable, urls_seen, "profile_url", unique=True)
+    page = F.concat("profile_url", F.lit("/"), F.col("event_id") % 7).alias("profile_url")
+    urls_seen = profiles.filter("event_id % 3 = 0").select(page)
+    fresh = dedup.unseen(profiles.select(page).distinct(), urls_seen, "profile_url", unique=True)
     return order.session_cap(fresh, rules.SESSION_LIMIT)
 
 
@@ -877,7 +892,7 @@ def page_cap(spark, sf):
 @query
 def sorted_distinct(spark, sf):
     links = pages.page_links(fx.table(spark, sf, "pages"))
-    return order.sorted_distinct(links, "href")
+    return order.numbered(order.sorted_distinct(links, "href"))
 
 
 # --- J: matching -------------------------------------------------------------
@@ -900,14 +915,15 @@ def cosine_pct(spark, sf):
 
 @query
 def best_role(spark, sf):
-    titled = matching.prepare_jobs(fx.jobs(spark, sf)).select("job_id", "title_unit")
-    found = matching.best_role(titled, fx.roles(spark, sf))
+    titled = matching.prepare_jobs(fx.jobs(spark, sf))
+    found = matching.best_role(fx.offers(spark, sf), titled, fx.roles(spark, sf))
     return found.select("job_id", "title_match.*")
 
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:
     return matching.match_report(
-        fx.pairs(spark, sf), fx.jobs(spark, sf), fx.cvs(spark, sf), fx.roles(spark, sf)
+        fx.pairs(spark, sf), fx.jobs(spark, sf), fx.cvs(spark, sf), fx.offers(spark, sf),
+        fx.roles(spark, sf),
     )
 
 
@@ -944,22 +960,26 @@ def retention(spark, sf):
     return stream_ops.within_retention(rows, "visited_at", now).select("event_id")
 
 
-def _slices(rows: DataFrame, path: str, column: str, values: range) -> None:
-    """Write one file per value, oldest first: the micro-batches of a stream."""
+def _runs(spark: SparkSession, rows: DataFrame, column: str, values: range, start: Callable) -> None:
+    """Feed a stream the rows of one value after the other, a run of the stream for each.
+
+    The rows are written once, a folder per value; `start` begins a run over a source folder.
+    """
+    staged, source = scratch_path(spark, "staged"), scratch_path(spark, "stream")
+    rows.write.partitionBy(column).parquet(staged)
     for value in values:
-        part = rows.filter(F.col(column) == value).coalesce(1)
-        part.write.mode("append").parquet(path)
+        part = spark.read.schema(rows.schema).parquet(staged).filter(F.col(column) == value)
+        part.select(*rows.columns).write.mode("append").parquet(source)
+        start(spark.readStream.schema(rows.schema).parquet(source)).awaitTermination()
 
 
 @query
 def stream_triage(spark, sf):
-    source = scratch_path(spark, "stream")
-    rows = fx.new_postings(spark, sf)
-    _slices(rows, source, "keyword_idx", range(5))
-    target = scratch_path(spark, "triaged")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    run = stream_runs.stream_triage(stream, target, scratch_path(spark, "checkpoint"))
-    run.awaitTermination()
+    target, state = scratch_path(spark, "triaged"), scratch_path(spark, "checkpoint")
+    _runs(
+        spark, fx.new_postings(spark, sf), "keyword_idx", range(5),
+        lambda stream: stream_runs.stream_triage(stream, target, state),
+    )
     return spark.read.parquet(target).select(
         "posting_id", "apply_link", "location_zone", "relevance", "relevance_score"
     )
@@ -967,22 +987,17 @@ def stream_triage(spark, sf):
 
 @query
 def stream_dedup(spark, sf):
-    source = scratch_path(spark, "stream")
     rows = fx.visits(spark, sf).select(
-        "profile_url", "visited_at", F.day("visited_at").cast("int").alias("slice"),
-    )
-    week = F.floor((F.col("slice") - 1) / 8).cast("int")
-    _slices(rows.withColumn("slice", week), source, "slice", range(4))
-    schema = "profile_url string, visited_at timestamp, slice int"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    target = scratch_path(spark, "first")
-    run = (
-        stream_ops.stream_dedup(stream, ["profile_url"], "visited_at")
-        .writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", scratch_path(spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    return spark.read.schema(schema).parquet(target).select("profile_url", "slice")
+        "profile_url", "visited_at",
+        F.floor((F.day("visited_at") - 1) / 8).cast("int").alias("slice"),
+    )
+    target, state = scratch_path(spark, "first"), scratch_path(spark, "checkpoint")
+
+    def start(stream: DataFrame):
+        # A slice is eight days in any order.
+        first = stream_ops.stream_dedup(stream, ["profile_url"], "visited_at", lateness="8 days")
+        writer = first.writeStream.format("parquet").option("path", target)
+        return writer.option("checkpointLocation", state).trigger(availableNow=True).start()
+
+    _runs(spark, rows, "slice", range(4), start)
+    return spark.read.parquet(target).select("profile_url", minutes("window_start").alias("window_start"))

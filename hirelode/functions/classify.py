@@ -180,7 +180,8 @@ def it_related(title: Column | str, keyword: Column | str | None = None) -> Colu
 
 def parse_scraped(value: Column | str) -> Column:
     """Minute-precision text as a timestamp; null if blank or malformed."""
-    return F.try_to_timestamp(utrim(value), F.lit("yyyy-M-d H:m"))
+    squeezed = F.regexp_replace(utrim(value), r"(?U)\s+", " ")
+    return F.try_to_timestamp(squeezed, F.lit("yyyy-M-d H:m"))
 
 
 def visit_status(

@@ -9,14 +9,12 @@ from hirelode import rules
 from hirelode.functions.text import UNICODE, any_of, col, let, quote, unquote, utrim
 
 # What counts as an address (fixed values). Quantifiers are possessive where the next part could
-# not begin with anything they would give back. The two letters after "z" fold to "s" and "k".
+# not begin with anything they would give back.
 NAME = r"[A-Za-z0-9._%+-]"
 PLAIN = UNICODE + rf"\b{NAME}++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b"
 OBFUSCATED = (
-    UNICODE + r"\b[A-Za-z\u017f\u212a0-9._%+-]++\s*+"
-    r"(?:@|\([aA][tT]\)|\[[aA][tT]\]|(?<=\s)[aA][tT]\s)\s*+"
-    r"[A-Za-z\u017f\u212a0-9.-]+\s*"
-    r"(?:\.|\([dD][oO][tT]\)|\[[dD][oO][tT]\]|\s[dD][oO][tT]\s)\s*[A-Za-z\u017f\u212a]{2,}\b"
+    r"(?iUd)\b[a-z0-9._%+-]++\s*+(?:@|\(at\)|\[at\]|(?<=\s)at\s)\s*+"
+    r"[a-z0-9.-]+\s*(?:\.|\(dot\)|\[dot\]|\sdot\s)\s*[a-z]{2,}\b"
 )
 # A spelled at-sign; it or "@" is in every text OBFUSCATED finds something in, and looking for
 # the two costs a fraction.
@@ -102,8 +100,7 @@ NOT_PLAIN_ASCII = r"[^\x00-\x7f]|[\t-\r\x1c-\x20]"
 
 def tidy_email(value: Column | str) -> Column:
     """Lower-case text without outer blanks, invisible characters and a leading scheme."""
-    raw = col(value)
-    raw = F.when(F.lower(raw).startswith("http://"), F.substring(raw, 8, 1_000_000)).otherwise(raw)
+    raw = F.regexp_replace(col(value), r"(?i)\Ahttp://", "")
     return F.lower(F.translate(utrim(raw), INVISIBLE, ""))
 
 

@@ -117,9 +117,10 @@ def tokens(value: Column | str) -> Column:
 
 
 def unquote(value: Column | str) -> Column:
-    """Percent-decoding that leaves "+" alone and keeps text it cannot decode."""
+    """Percent-decoding that leaves "+" and what is no escape alone."""
     raw = col(value)
-    decoded = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+    escapes = F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25")
+    decoded = F.try_url_decode(F.replace(escapes, F.lit("+"), F.lit("%2B")))
     return F.when(raw.contains("%"), F.coalesce(decoded, raw)).otherwise(raw)
 
 
@@ -130,39 +131,39 @@ def form_encode(value: Column | str) -> Column:
     return F.replace(encoded, F.lit("*"), F.lit("%2A"))
 
 
-_NAMED = {f"&{name};": chr(point) for name, point in html.entities.name2codepoint.items()}
-_NAMED["&apos;"] = "'"
-_REFERENCE = r"(&(?:[A-Za-z]+[0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});)"
+# The characters of HTML: all named references, and the numbers that stand for another code page.
+_NAMED = {f"&{name}": chars for name, chars in html.entities.html5.items() if name.endswith(";")}
+_CODE_PAGE = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+_REFERENCE = "&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+_PIECE = f"({_REFERENCE}|[^&]++|&)"
 
 
 def unescape_html(value: Column | str) -> Column:
-    """Replace named and numeric character references."""
+    """Replace named and numeric character references, each once, from left to right."""
     named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
-
-    def decoded(ref: Column) -> Column:
-        digits = F.regexp_extract(ref, r"^&#(?:[xX])?([0-9A-Fa-f]+);$", 1)
-        base16 = F.when(ref.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
-        point = F.conv(base16, 16, 10).cast("bigint")
-        numeric = F.when(
-            (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF),
-            F.decode(F.unhex(F.lpad(base16, 8, "0")), "UTF-32"),
+    code_page = F.from_json(F.lit(json.dumps(_CODE_PAGE)), "map<string,string>")
+
+    def decoded(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"^&#(?:[xX])?([0-9A-Fa-f]+);$", 1)
+        base16 = F.when(piece.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
+        point = F.conv(base16, 16, 10)
+        number = point.cast("bigint")
+        numeric = (
+            F.when((number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), "\ufffd")
+            .when(number.between(0x80, 0x9F), F.try_element_at(code_page, point))
+            .otherwise(F.decode(F.unhex(F.lpad(base16, 8, "0")), "UTF-32"))
         )
-        return F.coalesce(F.try_element_at(named, ref), F.when(digits != "", numeric), ref)
+        meant = F.coalesce(F.try_element_at(named, piece), F.when(digits != "", numeric), piece)
+        return F.when(piece.startswith("&"), meant).otherwise(piece)
 
     def replaced(text: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE)))
-        # "&amp;" goes last, so that "&amp;lt;" becomes "&lt;" and stays that way.
-        ordered = F.array_sort(found, lambda a, b: _amp(a) - _amp(b))
-        new = F.reduce(ordered, text, lambda acc, ref: F.replace(acc, ref, decoded(ref)))
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s){_PIECE}"))
+        new = F.array_join(F.transform(pieces, decoded), "")
         return F.when(text.contains("&"), new).otherwise(text)
 
     return let(col(value), replaced)
 
 
-def _amp(reference: Column) -> Column:
-    return (reference == "&amp;").cast("int")
-
-
 def round_half_even(value: Column, digits: int = 2) -> Column:
     """Round the exact binary value, ties to even, as correct decimal printing does.
 

@@ -5,12 +5,12 @@ Addresses are extracted before any shuffle: what travels is an address, not a pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelode.functions.emails import find_emails, mailto_address, normalize_email, screened
 from hirelode.operators.dedup import new_domains
-from hirelode.operators.pages import anchors_of, page_text, without_hidden
+from hirelode.operators.pages import anchors_of, page_text, without_scripts
 
 
 def page_emails(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -20,7 +20,7 @@ def page_emails(pages: DataFrame, html: str = "html") -> DataFrame:
     """
     kept = [c for c in pages.columns if c != html]
     # Each step reads the one before several times, so the steps are columns of their own.
-    shown = pages.withColumn("_shown", without_hidden(html)).withColumn("_text", page_text("_shown"))
+    shown = pages.withColumn("_shown", without_scripts(html)).withColumn("_text", page_text("_shown"))
     none = F.array().cast("array<string>")
     # The page holds no mailto link unless the word occurs.
     links = F.when(F.col(html).rlike("(?i)mailto"), anchors_of("_shown"))
@@ -52,15 +52,13 @@ def website_contacts(listings: DataFrame, found: DataFrame, known: DataFrame) ->
 
     `found(domain, rank, email)` holds the addresses on the pages of a website: rank 0 is the
     homepage, 1 and up its ranked subpages. Contacts are those of the homepage and of the first
-    subpage with a hit. A domain has at most one row per address and ranked page, so the window
-    sees what a handful of pages hold.
+    subpage with a hit; both parts combine before they are shuffled.
     """
     fresh = new_domains(listings, known).filter(F.col("domain").isNotNull()).select("domain")
-    wanted = found.select("domain", "rank", "email").distinct().join(fresh, "domain", "left_semi")
-    first = F.min(F.when(F.col("rank") > 0, F.col("rank"))).over(Window.partitionBy("domain"))
-    hits = wanted.withColumn("_first", first)
-    chosen = (F.col("rank") == 0) | (F.col("rank") == F.col("_first"))
-    return hits.filter(chosen).select("domain", "email").distinct()
+    wanted = found.select("domain", "rank", "email").join(fresh, "domain", "left_semi")
+    home = wanted.filter("rank = 0").select("domain", "email")
+    sub = first_hit_page(wanted.filter("rank > 0"), "domain").select("domain", "email")
+    return home.unionByName(sub).distinct()
 
 
 def tracked_websites(contacts_listings: DataFrame, known: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelode.functions.text import first_match, non_blank, utrim, text_or_blank
-from hirelode.operators.joins import skew_join
 
 DISCOVERY_ORDER = ("keyword_idx", "page_num", "card_idx", "posting_id")
 
@@ -42,24 +41,13 @@ def known_keys(history: DataFrame, key: str) -> DataFrame:
     return history.select(utrim(key).alias(key)).filter(F.col(key) != "").distinct()
 
 
-def unseen(
-    df: DataFrame,
-    seen: DataFrame,
-    key: str,
-    unique: bool = False,
-    counted: DataFrame | None = None,
-) -> DataFrame:
+def unseen(df: DataFrame, seen: DataFrame, key: str, unique: bool = False) -> DataFrame:
     """Rows with a non-blank key that is not in `seen`.
 
-    `unique=True` says the keys of `df` are not blank and occur once, as after `first_per_key`:
-    the join then needs no guard against hot keys. Otherwise keys are counted in `df`, or in
-    `counted`, a cheaper table with the same keys.
+    `unique=True` says the keys of `df` are not blank and occur once, as after `first_per_key`.
     """
-    known = known_keys(seen, key)
-    if unique:
-        return df.join(known, key, "left_anti")
-    rows = df.filter(non_blank(key).isNotNull())
-    return skew_join(rows, known, key, "left_anti", counted=counted)
+    rows = df if unique else df.filter(non_blank(key).isNotNull())
+    return rows.join(known_keys(seen, key), key, "left_anti")
 
 
 def new_listings(listings: DataFrame, processed: DataFrame, sponsored: Column) -> DataFrame:

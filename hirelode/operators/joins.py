@@ -1,78 +1,16 @@
-"""Joins that keep every row of a possibly skewed left side."""
+"""Joins that keep every row of the left side.
 
-from __future__ import annotations
+They are plain shuffle joins against a right side of one row per key. A key with a large share of
+the rows makes a large partition, which the adaptive skew join splits (`session.SETTINGS`).
+"""
 
-from collections.abc import Sequence
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from hirelode.functions.text import text_or_blank, utrim
 
-# A key is hot when it holds more than 1 / HOT_SHARE of the rows, hence at most HOT_SHARE keys
-# are: that bounds what `skew_join` broadcasts, whatever the size of the tables.
-HOT_SHARE = 10_000
-# No key below this many rows is worth salting.
-HOT_ROWS = 1_000_000
-SALTS = 64
-
-
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys holding more than 1/share of all rows and more than `rows` rows; null is a key.
-
-    Counting combines per task first, so the hot keys themselves shuffle one row per task.
-    """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.filter((F.col("_n") > rows) & (F.col("_n") * share > total)).select(key)
-
-
-def find_hot(
-    df: DataFrame, key: str, share: int = HOT_SHARE, rows: int = HOT_ROWS
-) -> DataFrame | None:
-    """The hot keys with a mark, ready to broadcast; None if there are none.
-
-    Counts the keys once, now. What comes back is at most `share` keys.
-    """
-    hot = hot_keys(df, key, share, rows).collect()
-    if not hot:
-        return None
-    schema = StructType([StructField(key, df.schema[key].dataType)])
-    return F.broadcast(df.sparkSession.createDataFrame(hot, schema).withColumn("_hot", F.lit(True)))
-
-
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    how: str,
-    share: int = HOT_SHARE,
-    rows: int = HOT_ROWS,
-    salts: int = SALTS,
-    counted: DataFrame | None = None,
-    spread_by: Sequence[str] = (),
-) -> DataFrame:
-    """Join `left` with `right`, which has one row per key; `how` is about left rows.
-
-    Without hot keys this is the plain join. Otherwise rows of a hot key, and rows without a key,
-    are spread by a hash of the row or of its `spread_by` columns, and the few right-hand rows of
-    hot keys are repeated once per salt. Nothing else is repeated. `counted` is a cheaper table
-    with the keys of `left`, if there is one.
-    """
-    hot = find_hot(left if counted is None else counted, key, share, rows)
-    if hot is None:
-        return left.join(right, key, how)
-    spread = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
-    salted = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(0)
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    repeated = right.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    return salted.drop("_hot").join(repeated.drop("_hot"), [key, "_salt"], how).drop("_salt")
-
 
 def pending_recipients(recipients: DataFrame, sent: DataFrame, distinct: bool = False) -> DataFrame:
     """Recipients not in the sent log, ignoring case; duplicates stay unless `distinct`."""
@@ -81,7 +19,7 @@ def pending_recipients(recipients: DataFrame, sent: DataFrame, distinct: bool =
         folded = folded.groupBy("_address").agg(
             F.min_by("email", "pos").alias("email"), F.min("pos").alias("pos")
         )
-    return skew_join(folded, _sent_addresses(sent), "_address", "left_anti").drop("_address")
+    return folded.join(_sent_addresses(sent), "_address", "left_anti").drop("_address")
 
 
 def recipient_counts(recipients: DataFrame, sent: DataFrame) -> DataFrame:
@@ -122,8 +60,7 @@ def fill_from_lookup(
     known = F.lit(None).cast("string")
     for name, url in (prefilled or {}).items():
         known = F.when(F.col(company) == name, url).otherwise(known)
-    # Rows that need nothing carry no key, so the join spreads them evenly.
-    marked = companies.withColumn("_wanted", F.when(blank, F.col(company)))
-    joined = skew_join(marked, lookup, "_wanted", "left")
-    filled = F.when(blank, F.coalesce(known, F.col("_found"), F.lit(""))).otherwise(F.col(page))
-    return joined.withColumn(page, filled).select(*columns)
+    # Only the rows that need a page meet the lookup; the others are not shuffled.
+    joined = companies.filter(blank).join(lookup, F.col(company) == F.col("_wanted"), "left")
+    filled = joined.withColumn(page, F.coalesce(known, F.col("_found"), F.lit("")))
+    return companies.filter(~blank).unionByName(filled.select(*columns))

@@ -1,8 +1,10 @@
 """Posting/CV matching over given pairs.
 
 One pair is one posting and one CV that somebody asked to compare, so pairs are an input table
-and both sides are attached by id. Work grows with the pairs, never with postings times CVs.
-Text is cut into words and vectors are normed once per posting and CV, before the joins.
+and both sides are attached by id; which roles a posting's title is held against is such a table
+too. Work grows with the pairs, never with postings times CVs. Every pair is reported: what lacks a
+text has no words, and a score that lacks a vector is null. Text is cut into words and vectors are
+normed once per posting and CV, before the joins.
 """
 
 from __future__ import annotations
@@ -15,15 +17,12 @@ from pyspark.sql import functions as F
 from hirelode import rules
 from hirelode.functions.text import col, let, round_half_even, tokens
 from hirelode.operators.dedup import top_k_per_group
-from hirelode.operators.joins import skew_join
-
-# A role list is what one person would accept; more than this is a mistake and raises.
-MAX_ROLES = 1_000
 
 
 def keyword_match(job_tokens: Column | str, cv_tokens: Column | str) -> Column:
     """Matched and missing words of a posting, their number and the percentage matched."""
-    job, cv = col(job_tokens), col(cv_tokens)
+    none = F.array().cast("array<string>")
+    job, cv = F.coalesce(col(job_tokens), none), F.coalesce(col(cv_tokens), none)
     matched = F.sort_array(F.array_intersect(job, cv))
     total = F.size(job)
     percentage = F.size(matched) / F.greatest(total, F.lit(1)) * 100
@@ -66,46 +65,37 @@ def cosine_pct(a: Column | str, b: Column | str) -> Column:
     return cosine_of_units(unit(a), unit(b))
 
 
-def role_list(roles: DataFrame, limit: int = MAX_ROLES) -> DataFrame:
-    """The roles as one row with one array, in role order; raises above `limit` roles."""
-    some = roles.limit(limit + 1).select(
-        F.struct("role_idx", "role", unit("embedding").alias("vector")).alias("role")
-    )
-    gathered = some.agg(F.sort_array(F.collect_list("role")).alias("roles"))
-    excess = F.raise_error(F.lit(f"more than {limit} roles"))
-    return gathered.select(
-        F.when(F.size("roles") <= limit, F.col("roles")).otherwise(excess).alias("roles")
-    )
-
-
 def best_role(
+    offers: DataFrame,
     titles: DataFrame,
     roles: DataFrame,
     vector: str = "title_unit",
     threshold: float = rules.TITLE_THRESHOLD,
 ) -> DataFrame:
-    """Add title_match: the role closest to the title vector, the first one on a tie.
+    """(job_id, title_match): of the roles a posting is held against the closest to its title.
 
-    The checked role list travels as one value; rows are not multiplied by roles.
+    `offers(job_id, role_idx)` says which; the first role wins a tie. The maximum is a combining
+    aggregate, and only numbers travel to it. Postings without a vector or an offer have no row.
     """
-    scored = F.transform(
-        "_roles",
-        lambda r: F.struct(
-            cosine_of_units(F.col(vector), r["vector"]).alias("score"),
-            (-r["role_idx"]).alias("earlier"),
-            r["role"].alias("role"),
-        ),
+    named = roles.select("role_idx", "role", unit("embedding").alias("_role"))
+    held = offers.join(titles.select("job_id", vector).dropna(), "job_id").join(named, "role_idx")
+    scored = held.select(
+        "job_id",
+        F.struct(
+            cosine_of_units(vector, "_role").alias("score"),
+            (-F.col("role_idx")).alias("earlier"),
+            F.col("role"),
+        ).alias("_offer"),
     )
-    offered = titles.withColumn("_roles", role_list(roles).scalar())
-    best = offered.withColumn("_best", F.array_max(scored)).drop("_roles")
-    return best.withColumn(
-        "title_match",
+    best = scored.groupBy("job_id").agg(F.max("_offer").alias("_best"))
+    return best.select(
+        "job_id",
         F.struct(
             (F.col("_best.score") >= threshold).alias("title_matched"),
             F.col("_best.role").alias("best_role"),
             F.col("_best.score").alias("title_similarity_percentage"),
-        ),
-    ).drop("_best")
+        ).alias("title_match"),
+    )
 
 
 def final_score(semantic: Column, keyword: Column, title: Column) -> Column:
@@ -115,11 +105,12 @@ def final_score(semantic: Column, keyword: Column, title: Column) -> Column:
 
 
 def attach_pairs(pairs: DataFrame, jobs: DataFrame, cvs: DataFrame) -> DataFrame:
-    """Pairs with the columns of their posting and CV. A posting or CV may be in any share of
-    the pairs: both joins spread hot ids."""
-    pair = ("job_id", "cv_id")
-    with_job = skew_join(pairs, jobs, "job_id", "inner", spread_by=pair)
-    return skew_join(with_job, cvs, "cv_id", "inner", counted=pairs, spread_by=pair)
+    """All pairs with the columns of their posting and CV, null where there is none.
+
+    Both sides have one row per id. A posting or CV may be in any share of the pairs; the joins are
+    plain shuffle joins, whose large partitions the adaptive skew join splits.
+    """
+    return pairs.join(jobs, "job_id", "left").join(cvs, "cv_id", "left")
 
 
 def prepare_jobs(jobs: DataFrame) -> DataFrame:
@@ -136,10 +127,14 @@ def prepare_cvs(cvs: DataFrame) -> DataFrame:
 
 
 def match_report(
-    pairs: DataFrame, jobs: DataFrame, cvs: DataFrame, roles: DataFrame
+    pairs: DataFrame, jobs: DataFrame, cvs: DataFrame, offers: DataFrame, roles: DataFrame
 ) -> DataFrame:
-    """Nested report of every pair: overall, semantic, keyword and title match."""
-    titled = best_role(prepare_jobs(jobs), roles).drop("title_unit")
+    """Nested report of every pair: overall, semantic, keyword and title match.
+
+    The overall score is null if one of its parts is.
+    """
+    prepared = prepare_jobs(jobs)
+    titled = prepared.join(best_role(offers, prepared, roles), "job_id", "left").drop("title_unit")
     scored = attach_pairs(pairs, titled, prepare_cvs(cvs)).select(
         "job_id",
         "cv_id",
@@ -163,5 +158,8 @@ def match_report(
 
 
 def best_jobs_per_cv(report: DataFrame, k: int) -> DataFrame:
-    order: Sequence[Column] = (F.col("overall_similarity_percentage").desc(), F.col("job_id"))
+    order: Sequence[Column] = (
+        F.col("overall_similarity_percentage").desc_nulls_last(),
+        F.col("job_id"),
+    )
     return top_k_per_group(report, ["cv_id"], order, k)

@@ -9,30 +9,20 @@ from pyspark.sql import functions as F
 
 from hirelode.functions.classify import zone_rank
 from hirelode.operators.dedup import DISCOVERY_ORDER
-from hirelode.operators.joins import HOT_ROWS, HOT_SHARE, find_hot
 from hirelode.session import materialize
 
 # monotonically_increasing_id: partition number above bit 33, position in the partition below.
 PARTITION_BITS = 33
 
 
-def global_rank(
-    df: DataFrame,
-    order: Sequence[Column | str],
-    rank: str = "rank",
-) -> DataFrame:
-    """Position 1, 2, 3 … of every row in a total order.
+def numbered(ordered: DataFrame, position: str = "position") -> DataFrame:
+    """Position 1, 2, 3 … of every row of a sorted table.
 
-    The rows are range-partitioned and sorted once; a row's rank is its position in its partition
-    plus the sizes of the partitions before it. Only one row per partition meets in a single task.
-    The sorted rows are checkpointed because the sampled partition bounds must not change between
-    the two uses.
+    A row's position is that in its partition plus the sizes of the partitions before it; only one
+    row per partition meets in a single task. The sorted rows are checkpointed because the sampled
+    partition bounds must not change between the two uses.
     """
-    placed = materialize(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_id", F.monotonically_increasing_id())
-    )
+    placed = materialize(ordered.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", PARTITION_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,11 +33,20 @@ def global_rank(
     return (
         placed.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .withColumn(rank, within + F.col("_before") + 1)
+        .withColumn(position, within + F.col("_before") + 1)
         .drop("_part", "_id", "_before")
     )
 
 
+def global_rank(
+    df: DataFrame,
+    order: Sequence[Column | str],
+    rank: str = "rank",
+) -> DataFrame:
+    """Position of every row in a total order: one range shuffle, see `numbered`."""
+    return numbered(df.repartitionByRange(*order).sortWithinPartitions(*order), rank)
+
+
 def posting_order(tie: Sequence[str] = DISCOVERY_ORDER) -> list[Column]:
     return [zone_rank("location_zone"), F.col("relevance_score").desc(), *map(F.col, tie)]
 
@@ -69,38 +68,27 @@ def previous_value(
     value: str,
     chunk: Column,
     alias: str = "previous",
-    share: int = HOT_SHARE,
-    rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Last non-null `value` before each row of its group.
 
-    A group may hold a third of all rows. Hot groups are cut into chunks, `chunk` being any
-    expression that never decreases along `order`; a value that reaches over a chunk border comes
-    from a summary of one row per hot group and chunk. Other groups stay whole.
+    A group may hold a third of all rows, so groups are cut into chunks, `chunk` being any
+    expression that never decreases along `order`: a task sorts one chunk of a group. A value that
+    reaches over a chunk border comes from a summary of one row per group and chunk, made by a
+    combining aggregate.
     """
     before = Window.unboundedPreceding, -1
     # A struct is never null, so rows with a null in the group columns join like the others.
-    grouped = df.withColumn("_group", F.struct(*group))
-    hot = find_hot(grouped.select("_group"), "_group", share, rows)
-    if hot is None:
-        whole = Window.partitionBy(*group).orderBy(*order).rowsBetween(*before)
-        return df.withColumn(alias, F.last(value, ignorenulls=True).over(whole))
-    marked = grouped.join(hot, "_group", "left")
-    pieces = marked.withColumn("_chunk", F.when(F.col("_hot"), chunk))
+    pieces = df.withColumns({"_group": F.struct(*group), "_chunk": F.struct(chunk.alias("at"))})
     inside = Window.partitionBy("_group", "_chunk").orderBy(*order).rowsBetween(*before)
     position = F.when(F.col(value).isNotNull(), F.struct(*order))
-    summary = (
-        pieces.filter("_hot")
-        .groupBy("_group", "_chunk")
-        .agg(F.max_by(value, position).alias("_final"))
-    )
+    summary = pieces.groupBy("_group", "_chunk").agg(F.max_by(value, position).alias("_final"))
     earlier = Window.partitionBy("_group").orderBy("_chunk").rowsBetween(*before)
     carried = summary.select(
         "_group", "_chunk", F.last("_final", ignorenulls=True).over(earlier).alias("_carried")
     )
     return (
         pieces.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
-        .join(carried, ["_group", "_chunk"], "left")
+        .join(carried, ["_group", "_chunk"])
         .withColumn(alias, F.coalesce("_inside", "_carried"))
         .select(*df.columns, alias)
     )

@@ -29,7 +29,8 @@ from hirelode.operators.dedup import top_k_per_group, unseen
 from hirelode.operators.order import previous_value
 
 COMMENTS = r"(?s)<!--.*?(?:-->|\z)"
-SCRIPTS = r"(?is)<(script|style|noscript|template)\b.*?(?:</\1\s*>|\z)"
+SCRIPTS = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)"
+UNSHOWN = r"(?is)<(noscript|template)\b.*?(?:</\1\s*>|\z)"
 HEAD = r"(?is)<head\b.*?(?:</head\s*>|\z)"
 ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 # An anchor ends at its closing tag, at the next anchor or with the page.
@@ -45,17 +46,17 @@ BLOCK_TAGS = (
 )
 
 
-def without_hidden(html: Column | str) -> Column:
-    """Page source without comments, scripts and styles."""
+def without_scripts(html: Column | str) -> Column:
+    """Page source without comments, scripts and styles: all that can hold an anchor."""
     return F.regexp_replace(F.regexp_replace(col(html), COMMENTS, ""), SCRIPTS, "")
 
 
 def page_text(shown: Column | str) -> Column:
-    """Visible text of a page `without_hidden` parts.
+    """Visible text of a page `without_scripts`; what a browser does not show goes as well.
 
     Block elements end a line, inline elements leave no trace.
     """
-    body = F.regexp_replace(col(shown), HEAD, "")
+    body = F.regexp_replace(F.regexp_replace(col(shown), UNSHOWN, ""), HEAD, "")
     lines = F.regexp_replace(body, BLOCK_TAGS, "\n")
     return unescape_html(F.regexp_replace(lines, "<[^>]*>", ""))
 
@@ -68,12 +69,12 @@ def _href(tag: Column) -> Column:
 
 
 def visible_text(html: Column | str) -> Column:
-    return page_text(without_hidden(html))
+    return page_text(without_scripts(html))
 
 
 def anchors(html: Column | str) -> Column:
     """array<struct(href, text)> of the anchors that have an href, in page order."""
-    return anchors_of(without_hidden(html))
+    return anchors_of(without_scripts(html))
 
 
 def anchors_of(shown: Column | str) -> Column:

@@ -14,6 +14,8 @@ from hirelode.functions.text import utrim
 from hirelode.operators.dedup import first_per_key
 from hirelode.sources.keys import file_position, no_position
 
+ROWS_PER_FILE = 200_000
+
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a file whose header names the columns; quoted line breaks are kept."""
@@ -21,15 +23,25 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_rows(
-    df: DataFrame, path: str, columns: Sequence[str] = rules.POSTING_FIELDS, mode: str = "overwrite"
+    df: DataFrame,
+    path: str,
+    columns: Sequence[str] = rules.POSTING_FIELDS,
+    mode: str = "overwrite",
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> None:
-    """Fixed columns in fixed order; what is missing is written as an empty cell."""
+    """Fixed columns in fixed order; what is missing is written as an empty cell.
+
+    A file with quoted line breaks is read by one task, so no file gets more than `rows_per_file`.
+    """
     present = set(df.columns)
     cells = [
         F.coalesce(F.col(f"`{c}`").cast("string") if c in present else F.lit(None), F.lit("")).alias(c)
         for c in columns
     ]
-    options = {"header": True, "escape": '"', "emptyValue": "", "nullValue": ""}
+    options = {
+        "header": True, "escape": '"', "emptyValue": "", "nullValue": "",
+        "maxRecordsPerFile": rows_per_file,
+    }
     df.select(*cells).write.mode(mode).options(**options).csv(path)
 
 

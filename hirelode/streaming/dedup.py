@@ -19,12 +19,23 @@ def within_retention(
 
 
 def stream_dedup(
-    stream: DataFrame, key: Sequence[str], time: str, hours: int = rules.RETENTION_HOURS
+    stream: DataFrame,
+    key: Sequence[str],
+    time: str,
+    hours: int = rules.RETENTION_HOURS,
+    lateness: str | None = None,
 ) -> DataFrame:
-    """First row per key within the window; state older than the watermark is dropped.
+    """First row to arrive per key and window of `hours`, with the window's start.
 
-    A key that comes back after its window is emitted again: this bounds the state, it does not
-    replace `first_per_key` over the whole history.
+    Windows lie side by side, so which (key, window_start) come out does not depend on how the
+    stream is cut into batches. State of a window goes once the watermark has passed it; `lateness`
+    (as long as the window, if not given) bounds how far rows may be out of order. Later rows, and
+    rows without a time, go. This bounds the state, it does not replace `first_per_key` over the
+    whole history.
     """
     stamped = stream.withColumn(time, F.col(time).cast("timestamp"))
-    return stamped.withWatermark(time, f"{hours} hours").dropDuplicatesWithinWatermark(list(key))
+    late = stamped.withWatermark(time, lateness or f"{hours} hours")
+    # The window carries the watermark from here on; a stream may have one such column.
+    windowed = late.withColumn("_window", F.window(time, f"{hours} hours")).withMetadata(time, {})
+    first = windowed.dropDuplicates([*key, "_window"])
+    return first.withColumn("window_start", F.col("_window.start")).drop("_window")

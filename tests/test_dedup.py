@@ -37,37 +37,32 @@ def test_first_per_key_equals_brute_force(skewed, plan):
     assert text.index("Final") < text.index("Exchange") < text.index("Partial")
 
 
-def test_hot_keys_are_few_and_found(skewed):
+@pytest.mark.parametrize("how", ["left", "left_anti"])
+def test_a_hot_key_is_split_by_the_adaptive_join(skewed, spark, how):
+    """The operators rely on it: no row is lost, and the hot partition is read in several pieces."""
     df, _ = skewed
-    assert [r.apply_link for r in joins.hot_keys(df, "apply_link", share=10, rows=50).collect()] == ["hot"]
-    assert joins.hot_keys(df, "apply_link").count() == 0
-    assert joins.hot_keys(df, "apply_link", share=4, rows=0).count() <= 4
-
-
-@pytest.mark.parametrize("how", ["left", "inner", "left_anti", "left_semi"])
-def test_skew_join_equals_a_plain_join(skewed, spark, how):
-    df, _ = skewed
-    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("other", 4)], "apply_link string, v int")
-    salted = joins.skew_join(df, right, "apply_link", how, share=10, rows=0, salts=7)
-    wanted = df.join(right, "apply_link", how)
-    assert salted.columns == wanted.columns
-    assert sorted(map(str, salted.collect())) == sorted(map(str, wanted.collect()))
-
-
-def test_skew_join_spreads_the_hot_key(skewed, spark, plan):
-    df, _ = skewed
-    right = spark.createDataFrame([("hot", 1)], "apply_link string, v int")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    wide = df.withColumn("more", F.repeat(F.sha2(F.col("posting_id").cast("string"), 256), 20))
+    right = spark.createDataFrame([("hot", 1), ("k1", 2)], "apply_link string, v int")
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    for key, value in conf.items():
+        spark.conf.set(key, value)
     try:
-        joined = joins.skew_join(df, right, "apply_link", "inner", share=10, rows=0, salts=16)
-        assert joined.count() == ROWS // 3
-        assert "hashpartitioning(apply_link" in plan(joined) and "_salt" in plan(joined)
-        parts = joined.select(F.spark_partition_id().alias("p")).distinct().count()
+        joined = wide.repartition(12).join(right, "apply_link", how)
+        rows = joined.collect()
+        text = joined._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert parts == 4
+        for key in conf:
+            spark.conf.unset(key)
+    assert "skew=true" in text
+    kept = df.filter("apply_link NOT IN ('hot', 'k1') OR apply_link IS NULL").count() if how == "left_anti" else df.count()
+    assert len(rows) == kept
+
 
 
 def test_unseen_drops_blank_and_known_keys(skewed, spark):
@@ -107,7 +102,9 @@ def test_unique_keywords(spark):
 
 
 def test_search_keywords_per_run_mode(spark):
-    df = spark.createDataFrame(rules.keyword_rows(), "pos int, keyword string, mode string")
+    lists = [(k, "data") for k in rules.DATA_KEYWORDS] + [(k, "devops") for k in rules.DEVOPS_KEYWORDS]
+    rows = [(pos, keyword, mode) for pos, (keyword, mode) in enumerate(lists)]
+    df = spark.createDataFrame(rows, "pos int, keyword string, mode string")
     sizes = [dedup.unique_keywords(df, mode).count() for mode in ("data", "devops", "both")]
     assert sizes == [31, 29, 60]
 

@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hirelode.operators import matching
@@ -25,10 +24,15 @@ def sides(spark):
     return jobs, cvs, roles
 
 
-def test_match_report(spark, sides, plan):
+@pytest.fixture
+def offers(spark):
+    return spark.createDataFrame([(j, r) for j in (1, 2, 3, 4, 5) for r in (0, 1, 2)], "job_id int, role_idx int")
+
+
+def test_match_report(spark, sides, offers, plan):
     jobs, cvs, roles = sides
     pairs = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (3, 10)], "job_id int, cv_id int")
-    report = matching.match_report(pairs, jobs, cvs, roles)
+    report = matching.match_report(pairs, jobs, cvs, offers, roles)
     assert "Cartesian" not in plan(report) and "EvalPython" not in plan(report)
     got = {(r.job_id, r.cv_id): r for r in report.collect()}
     one = got[1, 10]
@@ -48,11 +52,21 @@ def test_match_report(spark, sides, plan):
     assert {(r.cv_id, r.job_id) for r in top} == {(10, 1), (11, 1)}
 
 
-def test_too_many_roles_raise(spark, sides):
-    _, _, roles = sides
-    with pytest.raises(PySparkException, match="more than 2 roles"):
-        matching.role_list(roles, limit=2).collect()
-    assert [r.role for r in matching.role_list(roles, limit=3).first().roles] == ["first", "same", "other"]
+def test_pairs_without_a_side_or_a_vector_are_reported(spark, sides, offers):
+    jobs, cvs, roles = sides
+    bare = spark.createDataFrame([(4, "python", None, None)], jobs.schema)
+    pairs = spark.createDataFrame([(1, 10), (4, 10), (9, 10), (1, 99)], "job_id int, cv_id int")
+    report = matching.match_report(pairs, jobs.union(bare), cvs, offers, roles)
+    got = {(r.job_id, r.cv_id): r for r in report.collect()}
+    assert len(got) == 4 and got[1, 10].overall_similarity_percentage is not None
+    for pair in ((4, 10), (9, 10), (1, 99)):
+        assert got[pair].semantic_similarity_percentage is None
+        assert got[pair].overall_similarity_percentage is None
+    assert got[4, 10].title_match is None and got[4, 10].keyword_match.matched_count == 1
+    assert got[9, 10].keyword_match.total_keywords == 0
+    assert got[1, 99].title_match.best_role == "first" and got[1, 99].keyword_match.matched_count == 0
+    top = matching.best_jobs_per_cv(report, 3).filter("cv_id = 10").orderBy("rank").collect()
+    assert [r.job_id for r in top] == [1, 4, 9]
 
 
 def test_cosine(spark):
@@ -60,16 +74,11 @@ def test_cosine(spark):
     assert [r.c for r in df.select(matching.cosine_pct("a", "b").alias("c")).collect()] == [96.0, 0.0, -100.0]
 
 
-def test_a_cv_in_a_third_of_all_pairs(spark, sides, monkeypatch):
+def test_a_cv_in_a_third_of_all_pairs(spark, sides):
     jobs, cvs, _ = sides
-    monkeypatch.setattr(matching, "skew_join", _salting(matching.skew_join))
     pairs = spark.range(900).select(
         (F.col("id") % 3 + 1).cast("int").alias("job_id"),
         F.when(F.col("id") % 3 == 0, 10).otherwise(11).alias("cv_id"),
     )
     joined = matching.attach_pairs(pairs, matching.prepare_jobs(jobs), matching.prepare_cvs(cvs))
     assert joined.count() == 900
-
-
-def _salting(join):
-    return lambda *args, **kw: join(*args, **{**kw, "share": 10, "rows": 0, "salts": 4})

@@ -1,6 +1,5 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from hirelode.operators import order, pages
@@ -17,16 +16,14 @@ def test_global_rank_equals_a_sort(spark):
     assert got == {r[0]: i + 1 for i, r in enumerate(wanted)}
 
 
-@pytest.mark.parametrize("rows", [10_000, 400, 0])
-def test_previous_value_equals_brute_force(spark, rows):
-    hot = {"share": 10, "rows": rows}
+def test_previous_value_equals_brute_force(spark):
     chance = random.Random(4)
     data = []
     for i in range(1500):
         group = "hot" if i % 3 == 0 else chance.choice(["a", "b", None])
         data.append((group, i // 2, i, chance.choice([None, None, f"v{i}"])))
     df = spark.createDataFrame(data, "g string, t int, id int, v string").repartition(5)
-    result = order.previous_value(df, ["g"], ["t", "id"], "v", F.floor(F.col("t") / 10), **hot)
+    result = order.previous_value(df, ["g"], ["t", "id"], "v", F.floor(F.col("t") / 10))
     last, wanted = {}, {}
     for g, _, i, v in data:
         wanted[i] = last.get(g)
@@ -37,7 +34,7 @@ def test_previous_value_equals_brute_force(spark, rows):
 def test_previous_value_never_gathers_a_hot_group(spark, plan):
     df = spark.range(10).selectExpr("id % 2 AS g", "id AS t", "cast(id AS string) AS v")
     chunk = F.floor(F.col("t") / 3)
-    text = plan(order.previous_value(df, ["g"], ["t"], "v", chunk, share=10, rows=0))
+    text = plan(order.previous_value(df, ["g"], ["t"], "v", chunk))
     windows = [line for line in text.splitlines() if "Window [last(v" in line]
     assert windows and all("_chunk" in line for line in windows)
 

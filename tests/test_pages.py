@@ -44,6 +44,16 @@ def test_links_agree_with_an_html_parser(spark):
     assert got == wanted
 
 
+def test_anchors_that_browsers_hide_are_links(spark):
+    page = """<noscript><a href="/kontakt">K</a></noscript><template><a href="/t">T</a> seen</template>
+        <script>var a = '<a href="/no">';</script><!-- <a href="/old">x</a> --><p>shown</p>"""
+    row = spark.createDataFrame([(page,)], "html string").select(
+        pages.anchors("html").alias("links"), pages.visible_text("html").alias("text")
+    ).first()
+    assert [a.href for a in row.links] == ["/kontakt", "/t"]
+    assert row.text.split() == ["shown"]
+
+
 def test_sponsored(values):
     assert values(pages.is_sponsored, "Stadt", "Gesponsert", "Haus", None) == [True, True, False, False]
     word = lambda v: pages.is_sponsored(v, whole_word=True)

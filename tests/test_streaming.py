@@ -52,3 +52,20 @@ def test_stream_dedup_inside_one_window(spark, tmp_path):
     run = run.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(target).collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("slices", [1, 4, 8])
+def test_stream_dedup_does_not_depend_on_the_slices(spark, tmp_path, slices):
+    rows = spark.sql("""SELECT concat('k', id % 5) AS k, id % 40 AS part,
+        timestamp '2026-01-01 00:00:00' + make_interval(0, 0, 0, id % 40, id % 24) AS at FROM range(400)""")
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(slices):
+        part = rows.filter(F.floor(F.col("part") * slices / 40) == i)
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        run = stream_dedup(stream, ["k"], "at", lateness="40 days").writeStream.format("parquet")
+        run = run.option("path", target).option("checkpointLocation", str(tmp_path / "state"))
+        run.trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.k, r.window_start) for r in spark.read.parquet(target).collect())
+    wanted = rows.select("k", F.date_trunc("day", "at").alias("day")).distinct().collect()
+    assert got == sorted((r.k, r.day) for r in wanted)

@@ -1,4 +1,6 @@
+import html
 import random
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,18 @@ def test_unquote_keeps_plus_and_bad_escapes(values):
     assert values(text.unquote, "a%20b+c", "100%", "%zz", "ok", None) == [
         "a b+c", "100%", "%zz", "ok", None,
     ]
+    mixed = ("a%20b%zz", "100%25%", "%%20", "%C3%A9%", "a%2", "%2%41", "+%2B+")
+    assert values(text.unquote, *mixed) == [urllib.parse.unquote(v) for v in mixed]
+
+
+def test_references_are_decoded_once_and_by_their_html5_names(values):
+    shapes = (
+        "&#38;lt; &lt;", "&amp;lt;", "&#x26;amp;", "team&commat;firma.de", "&NotEqualTilde;", "&nosuch;", "a & b",
+        "&#128;&#x99;", "&#0;", "&#xD800;", "&auml;&Auml;&#228;", "&&amp;&", "", "plain", "&lt;&gt;&quot;&apos;",
+        "line\n&amp;\nline", "&fjlig;", "&#1114112;",
+    )
+    assert values(text.unescape_html, *shapes) == [html.unescape(v) for v in shapes]
+    assert values(text.unescape_html, None) == [None]
 
 
 def test_form_encode(values):
@@ -67,7 +81,7 @@ def test_unescape_html(values):
         text.unescape_html, "a&amp;b", "&amp;lt;", "&lt;p&gt;", "x&#64;y", "&#x40;", "&uuml;&nope;",
         "&#55296;", "plain", None,
     )
-    assert got == ["a&b", "&lt;", "<p>", "x@y", "@", "ü&nope;", "&#55296;", "plain", None]
+    assert got == ["a&b", "&lt;", "<p>", "x@y", "@", "ü&nope;", "\ufffd", "plain", None]
 
 
 def test_rounding_equals_exact_decimal_rounding(spark):
