@@ -1,8 +1,10 @@
 """Posting triage: clean, drop what is known, classify, rank, summarise.
 
-De-duplication comes before classification on purpose: matching the patterns costs far more than
-shuffling a description, and most postings of a run have been seen before. Postings without a link
-go first of all, so they never meet in one task.
+De-duplication comes before classification on purpose, and it looks at links and positions only:
+most postings of a run have been seen before, and their descriptions are neither shuffled nor
+matched to find that out. What is new is picked out of the postings by a semi join on link and
+position, which no hot link can overload and which Spark broadcasts or filters by when the new ones
+are few. Postings without a link go first of all, so they never meet in one task.
 """
 
 from __future__ import annotations
@@ -62,9 +64,15 @@ def classify(postings: DataFrame, keep_description: bool = False) -> DataFrame:
 
 
 def triage(postings: DataFrame, history: DataFrame, order=DISCOVERY_ORDER) -> DataFrame:
-    """New classified postings: first of each link, unless the link is in `history`."""
-    first = first_per_key(clean_postings(postings), ["apply_link"], order)
-    return classify(unseen(first, history, "apply_link", unique=True))
+    """New classified postings: first of each link, unless the link is in `history`.
+
+    `order` names the columns of a total order.
+    """
+    cleaned = clean_postings(postings)
+    position = ["apply_link", *order]
+    first = first_per_key(cleaned.select(*position), ["apply_link"], order)
+    fresh = unseen(first, history, "apply_link", unique=True)
+    return classify(cleaned.join(fresh, position, "left_semi"))
 
 
 def triage_v1(postings: DataFrame, history: DataFrame, order=DISCOVERY_ORDER) -> DataFrame:

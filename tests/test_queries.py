@@ -55,3 +55,17 @@ def test_plans_have_no_python_and_no_cross_join(spark, plan, name):
     text = plan(QUERIES[name](spark, SMALL))
     for operator in ("EvalPython", "InPandas", "InArrow", "Cartesian", "NestedLoopJoin"):
         assert operator not in text
+
+
+def test_triage_shuffles_no_description_to_find_the_new_postings(spark, plan):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["triage_postings"](spark, SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = text.splitlines()
+    links = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(apply_link" in line and "keyword_idx" not in line]
+    assert len(links) == 2  # those of the postings, and those of the history
+    for at in links:
+        below = next(line for line in lines[at + 1 :] if "Project" in line or "HashAggregate" in line or "Window" in line)
+        assert "description" not in below
