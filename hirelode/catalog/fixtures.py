@@ -126,6 +126,40 @@ def pages_with_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A website has this many pages; the first is its homepage and links to the others.
+SITE_SIZE = 5
+SITE_WORDS = ("kontakt", "jobs", "blog", "team", "about", "karriere", "news")
+
+
+def site_url(number: Column) -> Column:
+    """Address of a page by its number."""
+    host = F.concat(F.lit("https://site"), F.floor(number / SITE_SIZE), F.lit(".example.org"))
+    path = F.concat(F.lit("/"), pick(SITE_WORDS, number), F.lit("/"), number)
+    return F.concat(host, F.when(number % SITE_SIZE == 0, "/").otherwise(path))
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 as small websites: pages with an address, homepages with links to the other pages."""
+    number = F.col("page_id")
+    links = F.concat(*[
+        F.concat(F.lit('<a href="'), site_url(number + i), F.lit('">page</a>')) for i in range(1, SITE_SIZE)
+    ])
+    return pages_with_addresses(spark, sf_dir).select(
+        "page_id",
+        site_url(number).alias("url"),
+        F.concat("html", F.when(number % SITE_SIZE == 0, links).otherwise("")).alias("html"),
+    )
+
+
+def site_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The homepages, each with a tracking query."""
+    homes = table(spark, sf_dir, "pages").filter(F.col("page_id") % SITE_SIZE == 0)
+    return homes.select(
+        F.col("page_id").alias("listing_idx"),
+        F.concat(site_url(F.col("page_id")), F.lit("?utm=1")).alias("raw_url"),
+    )
+
+
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of each host is its homepage: (domain, home_id, home_url)."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", url_domain("url").alias("domain"))

@@ -12,6 +12,7 @@ from hirelode import rules
 from hirelode.catalog import fixtures as fx
 from hirelode.functions import classify, emails, text, urls
 from hirelode.operators import contacts, dedup, joins, matching, order, pages, report
+from hirelode.plans import contacts as contacts_plan
 from hirelode.plans import triage as triage_plan
 from hirelode.session import scratch_path
 from hirelode.sources import keys as key_files
@@ -470,6 +471,13 @@ def website_contacts(spark, sf):
     return contacts.website_contacts(sites, found, fx.known_domains(spark, sf))
 
 
+@query
+def site_contacts(spark, sf):
+    sites = fx.site_listings(spark, sf)
+    known = sites.filter("listing_idx % 35 = 0").select(urls.url_domain("raw_url").alias("domain"))
+    return contacts_plan.contacts_of(sites, fx.site_pages(spark, sf), known)
+
+
 @query
 def tracked_websites(spark, sf):
     sites = fx.listings(spark, sf).withColumn("domain", urls.url_domain("raw_url"))
@@ -482,7 +490,7 @@ def tracked_websites(spark, sf):
 def tracked_emails(spark, sf):
     raw = fx.raw_emails(spark, sf)
     new = raw.select(emails.undo_obfuscation("value").alias("email"), "email_id")
-    untidy = F.concat(F.lit("  HTTP://old."), emails.undo_obfuscation("value"), F.lit(" ")).alias("email")
+    untidy = F.concat(F.lit("HTTP://old."), emails.undo_obfuscation("value"), F.lit(" ")).alias("email")
     known = raw.filter("email_id % 5 = 0").select(untidy)
     return contacts.tracked_emails(new.filter("email_id % 5 > 0"), known)
 

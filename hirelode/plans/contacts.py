@@ -31,8 +31,8 @@ def contacts_of(
     """contacts(domain, email) of new websites.
 
     A stored page is a homepage if a listing names its URL. The ranked subpages are those its
-    links lead to. Pages are read once for addresses and once for links; neither branch shuffles
-    page source, and copies of a page collapse before they are joined.
+    links lead to. Patterns run on homepages for links, and on homepages and ranked subpages for
+    addresses: all other pages go first, by joins on their address alone.
     """
     sites = with_website(listings)
     homes = (
@@ -41,12 +41,12 @@ def contacts_of(
         .distinct()
     )
     located = pages.withColumn("page_url", canonical_url("url"))
-    links = page_links(located, "page_url").select("page_url", "url", "href", "text").distinct()
-    ranked = rank_relevant_pages(
-        links.join(homes, "page_url"), k, keywords, tiers, website="domain"
-    )
+    linked = page_links(located.join(homes, "page_url"), "domain")
+    links = linked.select("domain", "url", "href", "text").distinct()
+    ranked = rank_relevant_pages(links, k, keywords, tiers, website="domain")
     wanted = homes.withColumn("rank", F.lit(0)).unionByName(
         ranked.select("page_url", "domain", "rank")
     )
-    emails = page_emails(located).select("page_url", "email").distinct()
+    read = located.join(wanted.select("page_url").distinct(), "page_url", "left_semi")
+    emails = page_emails(read).select("page_url", "email").distinct()
     return website_contacts(sites, emails.join(wanted, "page_url"), known)
