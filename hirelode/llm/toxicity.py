@@ -32,12 +32,19 @@ LEARN = 0.6
 #: A word or beginning tells if this share of toxic documents has it, so many times the ordinary share.
 TELLING_SHARE, TELLING_RATIO, TELLING_LEAST = 0.015, 10.0, 4
 BEGINNINGS = (4, 5, 6)
+HEAD = 5
 WORD = re.compile(rb"[^\s!-@\[-`{-~]+")
 
 
+def marked(text: bytes) -> bytes:
+    """A-Z and a-z small, but for the first bytes of each word: large there, so that a word's beginning
+    is not matched by the same letters inside another."""
+    return b" ".join([w[:HEAD].upper() + w[HEAD:] for w in text.lower().split(b" ")])
+
+
 def windows(text: bytes) -> list[bytes]:
-    """Consecutive pieces of the whole text, A-Z lower-cased; the empty text is one empty window."""
-    text = text.lower()
+    """Consecutive pieces of the whole marked text; the empty text is one empty window."""
+    text = marked(text)
     pieces, at = [], 0
     while at < len(text):
         end = at + WINDOW
@@ -57,7 +64,7 @@ def shares(texts: list[bytes]) -> Counter:
     """In how many of the texts each word and word beginning occurs."""
     counts: Counter = Counter()
     for text in texts:
-        counts.update({b for w in set(WORD.findall(text.lower())) for b in beginnings(w)})
+        counts.update({b for w in set(WORD.findall(marked(text))) for b in beginnings(w)})
     return counts
 
 
@@ -71,7 +78,7 @@ def telling_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     }
     samples = []
     for text in toxic:
-        for word in WORD.findall(text.lower()):
+        for word in WORD.findall(marked(text)):
             if known := beginnings(word) & telling:
                 longest = max(known, key=len)
                 samples.append(b" " + longest + (b" " if longest == word else b""))
@@ -128,13 +135,18 @@ class Model:
 
 
 def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 0.3) -> np.ndarray:
-    """Weights of a logistic curve, by Newton's method."""
+    """Weights of a logistic curve, by Newton's method.
+
+    The rarer class counts more, by the root of how much rarer it is: half way to equal weights.
+    """
+    share = min(max(labels.mean(), 1e-6), 1 - 1e-6)
+    worth = np.where(labels == 1, np.sqrt((1 - share) / share), 1.0)
     weights = np.zeros(features.shape[1])
     keep = ridge * np.eye(features.shape[1])
     for _ in range(50):
         score = 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
-        slope = features.T @ (score - labels) + keep @ weights
-        bend = (features * (score * (1 - score))[:, None]).T @ features + keep
+        slope = features.T @ (worth * (score - labels)) + keep @ weights
+        bend = (features * (worth * score * (1 - score))[:, None]).T @ features + keep
         step = np.linalg.solve(bend, slope)
         weights = weights - step
         if np.abs(step).max() < 1e-8:

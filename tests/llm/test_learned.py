@@ -199,4 +199,5 @@ def test_models_learn_and_survive_the_journey():
     model.score(toxic)
     again = pickle.loads(pickle.dumps(model))
     assert (again.score(toxic) == model.score(toxic)).all()
-    assert again.score([b"a vile brute"])[0] > again.score([b"a quiet piece"])[0]
+    assert (again.toxic, again.ordinary) == (model.toxic, model.ordinary)
+    assert b"VILE" in model.toxic and b"QUIET" not in model.toxic
