@@ -109,9 +109,9 @@ def read_keys_lower(spark, sf):
 @query
 def read_recipients(spark, sf):
     path = scratch_path(spark, "recipients")
-    padded_lines(fx.recipients(spark, sf)).write.text(path)
+    padded_lines(fx.recipients(spark, sf).orderBy("pos")).write.text(path)
     read = key_files.read_recipients(spark, path)
-    return read.groupBy("email").agg(F.count(F.lit(1)).alias("copies"))
+    return order.global_rank(read, ["pos"], "position").select("position", "email")
 
 
 @query
@@ -177,7 +177,8 @@ def read_history(spark, sf):
 def write_sorted_keys(spark, sf):
     path = scratch_path(spark, "sorted")
     key_files.write_sorted_keys(fx.raw_emails(spark, sf), path, "value", emails=True)
-    return spark.read.text(path).select(F.col("value").alias("email"))
+    written = key_files.read_lines(spark, path).select("pos", F.col("value").alias("email"))
+    return order.global_rank(written, ["pos"], "position").select("position", "email")
 
 
 @query
@@ -198,9 +199,8 @@ def write_run(spark, sf):
     again = scratch_path(spark, "runs")
     for stamp in (datetime(2026, 4, 1, 9, 30), datetime(2026, 4, 2, 18, 5)) * 2:
         run_files.write_run(first, again, stamp)
-    return run_files.read_runs(spark, again).groupBy(*run_files.PARTITIONS).agg(
-        F.count(F.lit(1)).alias("postings"), F.sum("relevance_score").alias("score")
-    )
+    written = run_files.read_runs(spark, again)
+    return written.select(*run_files.PARTITIONS, "posting_id", "relevance_score")
 
 
 def order_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,9 +225,8 @@ def latest_run(spark, sf):
 @query
 def latest_run_fallback(spark, sf):
     some = order_runs(spark, sf).filter("relevance_split = 'relevant' OR run_day <> '1998'")
-    return run_files.latest_run(some, "1998").groupBy("relevance_split").agg(
-        F.count(F.lit(1)).alias("postings"), F.max("run_time").alias("last_time")
-    )
+    found = run_files.latest_run(some, "1998")
+    return found.select("posting_id", "relevance_split", "run_time")
 
 
 # --- B: pages and URLs -------------------------------------------------------
@@ -719,9 +718,7 @@ def backfilled_zones(spark, sf):
 def merged_history(spark, sf):
     rows = fx.postings(spark, sf)
     merged = dedup.merge_history(rows.filter("NOT is_history"), rows.filter("is_history"))
-    return merged.groupBy("generation").agg(
-        F.count(F.lit(1)).alias("postings"), F.max("posting_id").alias("last_id")
-    )
+    return merged.select("generation", "posting_id", "apply_link")
 
 
 def attached(spark: SparkSession, sf: str) -> DataFrame:
