@@ -80,6 +80,19 @@ def published_rows(spark, sf):
     )
 
 
+@query
+def published_rows_v1(spark, sf):
+    """The first generation's layout: fewer columns, the link at another place, some rows without one."""
+    cleaned = fx.postings(spark, sf).withColumn("apply_link", urls.clean_url("apply_link"))
+    labelled = triage_plan.with_relevance(cleaned)
+    rows = triage_plan.to_posting_rows(labelled, ("posting_id", "is_history"), rules.POSTING_FIELDS_V1)
+    rows = rows.withColumnRenamed("posting_id", "pos")
+    new = triage_plan.publish(
+        rows.filter("NOT is_history"), rows.filter("is_history"), rules.POSTING_FIELDS_V1
+    )
+    return new.select("pos", F.col("Apply Link").alias("link"), F.col("Relevance").alias("relevance"))
+
+
 # --- A: files ----------------------------------------------------------------
 
 
@@ -707,6 +720,17 @@ def filled_careers(spark, sf):
     return filled.withColumnRenamed("Career Page", "career_page")
 
 
+@query
+def prefilled_careers(spark, sf):
+    """Fixed pages of two companies go before the lookup."""
+    companies = fx.companies(spark, sf)
+    name = F.when(F.col("nation").cast("int") % 5 == 0, "Google").otherwise(F.col("company"))
+    filled = joins.fill_from_lookup(
+        companies.withColumn("company", name), fx.careers(spark, sf), prefilled=rules.PREFILLED_CAREERS
+    )
+    return filled.withColumnRenamed("Career Page", "career_page")
+
+
 @query
 def backfilled_zones(spark, sf):
     zone = F.when(F.col("posting_id") % 2 == 0, "").when(F.col("posting_id") % 5 == 0, "Given")

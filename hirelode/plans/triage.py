@@ -88,8 +88,13 @@ def with_relevance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("relevance", it_related("title", "keyword"))
 
 
-def to_posting_rows(triaged: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Triaged postings in the layout of the output file, after the columns to `keep`."""
+def to_posting_rows(
+    triaged: DataFrame, keep: Sequence[str] = (), fields: Sequence[str] = rules.POSTING_FIELDS
+) -> DataFrame:
+    """Triaged postings in the layout of the output file, after the columns to `keep`.
+
+    Columns that a layout does not have need not be in the postings either.
+    """
     source = {
         "Scraped Date": F.date_format("scraped_at", rules.SCRAPED_FORMAT),
         "Time Filter": F.col("time_filter"),
@@ -104,7 +109,7 @@ def to_posting_rows(triaged: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         "Relevance_Score": F.col("relevance_score").cast("string"),
         "Relevance": F.col("relevance"),
     }
-    return triaged.select(*keep, *[source[name].alias(name) for name in rules.POSTING_FIELDS])
+    return triaged.select(*keep, *[source[name].alias(name) for name in fields])
 
 
 def publish(
