@@ -269,9 +269,11 @@ def near_duplicates(
     linked = member.join(fps, "fp")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     classed = linked.join(smallest, "root").select("fp", "component_id")
-    classes = fps.join(classed, "fp", "left").select(
+    # Written, so that both sides of the last join are plain shuffles: a fingerprint that a third of
+    # the rows have makes a large partition, which the adaptive skew join can split.
+    classes = materialize(fps.join(classed, "fp", "left").select(
         "fp", F.coalesce("component_id", "first").alias("component_id")
-    )
+    ))
     return marked.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id", "text_hash")
 
 
