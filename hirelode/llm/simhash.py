@@ -265,12 +265,13 @@ def near_duplicates(
     )
     marked = materialize(fingerprints(named, "text", size, keep=["key", "text_hash"]))
     fps = marked.groupBy("fp").agg(F.min("key").alias("first"))
+    # What is joined is written before, so that both sides are plain shuffles: a fingerprint that a
+    # third of the rows have, or the root of as many, makes a large partition, which the adaptive skew
+    # join can split.
     member = components(links(fps.select("fp"), distance), "u", "v", "fp", "root")
-    linked = member.join(fps, "fp")
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = materialize(member.join(fps, "fp"))
+    smallest = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")))
     classed = linked.join(smallest, "root").select("fp", "component_id")
-    # Written, so that both sides of the last join are plain shuffles: a fingerprint that a third of
-    # the rows have makes a large partition, which the adaptive skew join can split.
     classes = materialize(fps.join(classed, "fp", "left").select(
         "fp", F.coalesce("component_id", "first").alias("component_id")
     ))
