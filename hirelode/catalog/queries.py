@@ -14,7 +14,7 @@ from hirelode.functions import classify, emails, text, urls
 from hirelode.operators import contacts, dedup, joins, matching, order, pages, report
 from hirelode.plans import contacts as contacts_plan
 from hirelode.plans import triage as triage_plan
-from hirelode.session import scratch_path
+from hirelode.session import materialize, scratch_path
 from hirelode.sources import keys as key_files
 from hirelode.sources import rows as row_files
 from hirelode.sources import runs as run_files
@@ -485,9 +485,10 @@ def website_contacts(spark, sf):
 
 @query
 def site_contacts(spark, sf):
-    sites = fx.site_listings(spark, sf)
+    # Written first, as collected pages are: else every step would derive the addresses again.
+    sites = materialize(fx.site_listings(spark, sf))
     known = sites.filter("listing_idx % 35 = 0").select(urls.url_domain("raw_url").alias("domain"))
-    return contacts_plan.contacts_of(sites, fx.site_pages(spark, sf), known)
+    return contacts_plan.contacts_of(sites, materialize(fx.site_pages(spark, sf)), known)
 
 
 @query
