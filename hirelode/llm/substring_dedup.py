@@ -1,8 +1,9 @@
 """Substring de-duplication by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; a chunk ends where its upper bits are zero. Such places
-depend on the last 16 bytes only, so text that was inserted before a passage does not move the cuts
-within it. Chunks that several documents hold are found by digest; neighbouring ones join to spans.
+A gear hash rolls over the bytes of a text; a chunk may end where it is the least of some 32 places
+in a row. Such places depend on the bytes around them only, so text that was inserted before a passage
+does not move the cuts within it, and no 32 places are without one, repetitive text included. Chunks
+that several documents hold are found by digest; neighbouring ones join to spans.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from hirelode.llm.common import prepare, with_columns
 
 #: The hash has 16 bits and shifts by one for each byte, so its window is 16 bytes.
 WINDOW = 16
-#: A cut needs this many upper bits to be zero: one byte in 32.
-CUT_BITS = 5
-LEAST, MOST = 12, 256
-#: A span is reported from this many characters on. A repeated passage loses some 16 characters
-#: and half a chunk or more at its ends, so passages of 50 words come out as spans above it.
-LEAST_SPAN = 100
+#: The least hash of so many places in a row is a cut.
+PLACES = 32
+LEAST, MOST = 16, 256
+#: A span is reported from this many characters on. A repeated passage loses 16 bytes and about a
+#: chunk at its ends, 44 bytes as a rule and seldom more than 100; one of 50 words has twice that.
+LEAST_SPAN = 64
 
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=7) & 0xFFFF for b in range(256)], dtype=np.uint16)
 
@@ -43,6 +44,24 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return rolled
 
 
+def slide(values: np.ndarray, size: int, better: np.ufunc) -> np.ndarray:
+    """The least or greatest of every `size` values in a row."""
+    step = 1
+    while step < size:
+        more = min(step, size - step)
+        values = better(values[:-more], values[more:])
+        step += more
+    return values
+
+
+def least_places(rolled: np.ndarray) -> np.ndarray:
+    """Places whose hash is the least of some PLACES in a row, all of them where several are equal."""
+    if len(rolled) < PLACES:
+        return np.zeros(0, dtype=np.int64)
+    least = np.pad(slide(rolled, PLACES, np.minimum), PLACES - 1)
+    return np.flatnonzero(slide(least, PLACES, np.maximum) == rolled)
+
+
 def cuts_of(candidates: list[int], starts: np.ndarray, begin: int, end: int) -> list[int]:
     """Ends of the chunks of the bytes from begin to end; `starts` marks bytes that begin a character."""
     ends, at = [], begin
@@ -67,18 +86,17 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     flat = np.frombuffer(data, dtype=np.uint8)
     starts = np.append((flat & 0xC0) != 0x80, True)
     characters = np.concatenate([[0], np.cumsum(starts[:-1])])
-    # A cut comes behind a byte; the window must lie in the text, so early places do not count.
-    zero = np.flatnonzero(gear_hashes(flat) >> np.uint16(WINDOW - CUT_BITS) == 0) + 1 if len(flat) else []
-    zero = zero[starts[zero]] if len(flat) else np.zeros(0, dtype=np.int64)
+    rolled = gear_hashes(flat)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    low, high = np.searchsorted(zero, bounds[:-1] + WINDOW), np.searchsorted(zero, bounds[1:])
-    places = zero.tolist()
     numbers, begins, ends = [], [], []
     for i in range(len(texts)):
         begin, end = int(bounds[i]), int(bounds[i + 1])
         if begin == end:
             continue
-        made = cuts_of(places[low[i] : high[i]], starts, begin, end)
+        # A cut comes behind a byte; the window must lie in the text, so early places do not count.
+        early = begin + WINDOW - 1
+        places = least_places(rolled[early : end - 1]) + early + 1
+        made = cuts_of(places[starts[places]].tolist(), starts, begin, end)
         numbers += [i] * len(made)
         begins.append(begin)
         begins += made[:-1]

@@ -208,6 +208,41 @@ def test_repeated_passages_are_found_wherever_they_stand(spark, empty):
     assert substring_dedup.remove_repeats(empty).collect() == []
 
 
+def planted(seed, passage):
+    """The passage within two documents, at places of their own."""
+    draw = random.Random(seed)
+    return [f"{prose(2 * seed + i, draw.randint(0, 40))} {passage} {prose(2 * seed + i, 90)}" for i in (100_000, 100_001)]
+
+
+@pytest.mark.parametrize("repetitive", [False, True])
+def test_passages_of_just_over_fifty_words_are_found(spark, repetitive):
+    """Short words and long ones, and passages that say a few words over and over."""
+    draw, pairs = random.Random(11), []
+    for i in range(300):
+        words = prose(i, 51 + i % 10).split()
+        if repetitive:
+            words = words[: draw.randint(1, 4)] * len(words)
+        passage = " ".join(words[: 51 + i % 10])
+        pairs += [(2 * i + j, text, str(i)) for j, text in enumerate(planted(i, passage))]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(pairs, SCHEMA)).collect()
+    texts = {key: text for key, text, _ in pairs}
+    assert {r.doc_id for r in got} >= set(range(1, 600, 2))
+    if not repetitive:
+        assert {r.doc_id - r.first_doc_id for r in got} == {1}
+        assert all(texts[r.doc_id][r.start : r.end] in texts[r.first_doc_id] for r in got)
+
+
+def test_cuts_depend_on_the_text_alone():
+    texts = [t.encode() for t in (prose(3, 90), "ab " * 40, "", "é" * 90, "x" * 500, "short", prose(4, 20))]
+    number, first, size, high, low = substring_dedup.chunks_of(texts)
+    for i, text in enumerate(texts):
+        _, *alone = substring_dedup.chunks_of([text])
+        for mine, other in zip((first, size, high, low), alone, strict=True):
+            assert mine[number == i].tolist() == other.tolist()
+        if len(text) > 100:
+            assert max(size[number == i]) <= 3 * substring_dedup.PLACES
+
+
 def test_edge_rows_of_substrings(edge):
     assert substring_dedup.repeated_spans(edge).collect() == []
     assert substring_dedup.remove_repeats(edge).count() == len(EDGE)
