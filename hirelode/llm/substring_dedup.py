@@ -25,6 +25,8 @@ LEAST, MOST = 16, 256
 #: A span is reported from this many characters on. A repeated passage loses 16 bytes and about a
 #: chunk at its ends, 44 bytes as a rule and seldom more than 100; one of 50 words has twice that.
 LEAST_SPAN = 64
+#: A cut moves to the edge of a word by so many characters at most.
+WORD_REACH = 40
 
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=7) & 0xFFFF for b in range(256)], dtype=np.uint16)
 
@@ -169,11 +171,17 @@ def repeated_spans(
 
 
 def shrink(text: str, start: int, end: int) -> tuple[int, int]:
-    """The whole words of a span, without the white space around them."""
-    while 0 < start < end and not text[start - 1].isspace():
-        start += 1
-    while start < end < len(text) and not text[end].isspace():
-        end -= 1
+    """The whole words of a span, without the white space around them.
+
+    A word that goes on for more than WORD_REACH characters is cut where the span ends, so text
+    without blanks loses nothing; a span of a part of one shorter word is empty.
+    """
+    if 0 < start:
+        near = range(start, min(start + WORD_REACH, end) + 1)
+        start = next((i for i in near if i == end or text[i - 1].isspace()), start)
+    if end < len(text):
+        near = range(end, max(end - WORD_REACH, start) - 1, -1)
+        end = next((i for i in near if i == start or text[i].isspace()), end)
     while start < end and text[start].isspace():
         start += 1
     while start < end and text[end - 1].isspace():

@@ -252,3 +252,23 @@ def test_spans_shrink_to_whole_words():
     assert substring_dedup.without("one two three four", [(2, 11)]) == "one  three four"
     assert substring_dedup.without("one two", [(0, 7)]) == ""
     assert substring_dedup.without("onetwothree", [(2, 6)]) == "onetwothree"
+
+
+def test_text_without_blanks_is_cut_where_the_span_ends(spark):
+    draw = random.Random(12)
+    signs = lambda n: "".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    passage, spaced, line = signs(300), f"{signs(90)} {signs(200)} {signs(90)}", "%0600x" % draw.getrandbits(2400)
+    rows = []
+    for i, shared in enumerate((passage, spaced, line)):
+        rows += [(10 * i, signs(120) + shared + signs(150), "a"), (10 * i + 1, signs(200) + shared + signs(80), "b")]
+    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for (first, text, _), (later, other, _) in zip(rows[::2], rows[1::2], strict=True):
+        shared = len(other) - 280
+        assert left[first] == text
+        assert left[later].startswith(other[:200]) and left[later].endswith(other[-80:])
+        assert len(left[later]) < 280 + shared / 3
+    # The blank is nearer than the reach at one end and farther at the other.
+    text = "ab cdef" + "x" * 100 + " gh"
+    assert substring_dedup.without(text, [(4, 80)]) == text[:4] + text[80:]
+    assert substring_dedup.without(text, [(1, 80)]) == "ab " + text[80:]
+    assert substring_dedup.without(text, [(4, 109)]) == text[:4] + " gh"
