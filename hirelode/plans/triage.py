@@ -3,13 +3,16 @@
 De-duplication comes before classification on purpose, and it looks at links and positions only:
 most postings of a run have been seen before, and their descriptions are neither shuffled nor
 matched to find that out. What is new is picked out of the postings by a semi join on link and
-position, which no hot link can overload and which Spark broadcasts or filters by when the new ones
-are few. Postings without a link go first of all, so they never meet in one task.
+position, nulls included, which no hot link can overload and which Spark broadcasts or filters by when
+the new ones are few; one row of each link is kept of what it lets through, since a posting may be
+repeated. Postings without a link go first of all, so they never meet in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,13 +69,17 @@ def classify(postings: DataFrame, keep_description: bool = False) -> DataFrame:
 def triage(postings: DataFrame, history: DataFrame, order=DISCOVERY_ORDER) -> DataFrame:
     """New classified postings: first of each link, unless the link is in `history`.
 
-    `order` names the columns of a total order.
+    `order` names the columns of a total order, in which null comes first. Rows that are equal in
+    all of them are one posting, of which one row stays, whichever order they come in.
     """
     cleaned = clean_postings(postings)
     position = ["apply_link", *order]
     first = first_per_key(cleaned.select(*position), ["apply_link"], order)
     fresh = unseen(first, history, "apply_link", unique=True)
-    return classify(cleaned.join(fresh, position, "left_semi"))
+    at = fresh.select(*[F.col(c).alias(f"_at_{i}") for i, c in enumerate(position)])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_at_{i}")) for i, c in enumerate(position)])
+    found = cleaned.join(at, same, "left_semi")
+    return classify(first_per_key(found, ["apply_link"], [*order, F.xxhash64(*cleaned.columns)]))
 
 
 def triage_v1(postings: DataFrame, history: DataFrame, order=DISCOVERY_ORDER) -> DataFrame:

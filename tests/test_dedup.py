@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hirelode import rules
 from hirelode.operators import dedup, joins
+from hirelode.plans.triage import triage
 
 ROWS = 600
 
@@ -147,3 +148,23 @@ def test_history_join_reuses_the_partitioning_of_first_per_key(skewed, spark, pl
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # One shuffle of the rows, one of the distinct known keys, none between the two operators.
     assert text.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_triage_keeps_null_positions_and_one_row_of_repeated_ones(spark, broadcast):
+    rows = [
+        (1, "l1", None, 1, 1, "a"), (2, "l1", 0, 1, 1, "b"), (3, "l2", 0, 1, 1, "c"), (3, "l2", 0, 1, 1, "c"),
+        (None, "l3", 0, None, None, "d"), (None, "l3", 0, None, None, "d"), (4, "l4", 0, 1, 1, "e"), (4, "l4", 0, 1, 1, "f"),
+        (5, "known", None, 1, 1, "g"), (6, None, 0, 1, 1, "h"),
+    ]
+    schema = "posting_id int, apply_link string, keyword_idx int, page_num int, card_idx int, title string"
+    postings = spark.createDataFrame(rows, schema).selectExpr("*", "title AS company", "'Berlin' AS location", "'SQL' AS description")
+    history = spark.createDataFrame([("known",)], "apply_link string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = [sorted((r.apply_link, r.posting_id, r.title) for r in triage(p, history).collect())
+                 for p in (postings, postings.orderBy(F.desc("title")))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1]
+    assert [r[:2] for r in found[0]] == [("l1", 1), ("l2", 3), ("l3", None), ("l4", 4)]
