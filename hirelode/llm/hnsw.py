@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelode.llm.blocks import QUERY_BLOCK, best, matrix, met, part_of, parts_for, same_width
+from hirelode.llm.blocks import QUERY_BLOCK, best, counted, matrix, met, part_of, parts_for, same_width
 from hirelode.llm.common import prepare
 
 SHARD_ROWS = 8_192
@@ -218,17 +218,19 @@ def search(
 
     `queries` has query_id and the vector. Scores are inner products of the vectors as given, in
     double precision; ties go to the smaller key; the row that has the query's id is left out.
+    Every row of `queries` has its k rows: equal queries are searched once and the result repeated.
     Queries of vectors that take no part get no rows; an empty index gives none.
     """
     prepare(index.sparkSession)
-    asked = usable(queries, "query_id", vector).withColumnRenamed("key", "query_id")
+    asked = counted(usable(queries, "query_id", vector).withColumnRenamed("key", "query_id"), "vector")
     sizes = index.select("shard").agg(F.max("shard").alias("last")).first()
     if sizes.last is None:
-        return best(asked.select("query_id", F.lit(0).cast("long").alias(key), F.lit(0.0).alias("score")).limit(0), k, key)
+        none = (F.lit(0).cast("long").alias(key), F.lit(0.0).alias("score"))
+        return best(asked.select("query_id", "place", "copies", *none).limit(0), k, key)
     n_shards, n_blocks = sizes.last + 1, parts_for(asked.count(), query_block)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        asking, keys, scores = [], [], []
+        each, keys, scores = [], [], []
         if left.num_rows and right.num_rows:
             graph = Graph(left.to_pylist()[0])
             ids = right["query_id"].to_numpy()
@@ -236,7 +238,8 @@ def search(
             wanted = wanted[:, : held.shape[1]] if held.shape[1] == graph.vectors.shape[1] else wanted
             for at in range(0, len(ids), STEP):
                 block = wanted[at : at + STEP, : graph.vectors.shape[1]]
-                for own, query, places in zip(ids[at:].tolist(), block, graph.search(block, beam), strict=False):
+                walked = enumerate(zip(ids[at:].tolist(), block, graph.search(block, beam), strict=False), at)
+                for number, (own, query, places) in walked:
                     places = places[places >= 0][: k + 1]
                     score = graph.vectors[places] @ query
                     several = [graph.ids_of(p) for p in places.tolist()]
@@ -244,15 +247,16 @@ def search(
                     value = np.repeat(score, [len(s) for s in several])
                     found, value = found[found != own], value[found != own]
                     order = np.lexsort((found, -value))[:k]
-                    asking += [own] * len(order)
+                    each += [number] * len(order)
                     keys.append(found[order])
                     scores.append(value[order])
-        none = np.zeros(0)
+        none, each = np.zeros(0), np.array(each, dtype=np.int64)
+        asking = {c: right[c].to_numpy().astype(np.int64)[each] for c in ("query_id", "place", "copies")}
         return pa.table({
-            "query_id": pa.array(asking, type=pa.int64()),
+            **{c: pa.array(v) for c, v in asking.items()},
             "key": pa.array(np.concatenate([none.astype(np.int64), *keys])),
             "score": pa.array(np.concatenate([none, *scores])),
         })
 
-    found = met(index, asked, n_shards, n_blocks).applyInArrow(run, "query_id bigint, key bigint, score double")
+    found = met(index, asked, n_shards, n_blocks).applyInArrow(run, "query_id bigint, place bigint, copies bigint, key bigint, score double")
     return best(found.withColumnRenamed("key", key), k, key)

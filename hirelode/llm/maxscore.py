@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelode.llm.blocks import QUERY_BLOCK, best, matrix, met, part_of, parts_for, same_width, top
+from hirelode.llm.blocks import QUERY_BLOCK, best, counted, matrix, met, part_of, parts_for, same_width, top
 from hirelode.llm.common import prepare
 
 SHARD_ROWS = 16_384
@@ -99,7 +99,8 @@ def search(
     which the position is the term and zeros are not posted; a shorter array ends in zeros. The
     result is (query_id, rank from 1, key, score), all rows if there are fewer than k. A query's
     own row, the one with its id as key, is left out. Rows or queries with a null key or array take
-    no part; nulls inside arrays are not allowed. Repeated rows are rows of their own. Either table
+    no part; nulls inside arrays are not allowed. Repeated rows are rows of their own. Every row of
+    `queries` has its k rows: equal queries are searched once and the result repeated. Either table
     may be empty: no rows.
 
     Every shard meets every block of queries, in a task that holds one of each; shards are dealt by
@@ -107,25 +108,28 @@ def search(
     """
     prepare(rows.sparkSession)
     posted = rows.select(F.col(key).alias("key"), F.col(weights).alias("weights")).dropna()
-    asked = queries.select("query_id", F.col(weights).alias("weights")).dropna()
+    asked = counted(queries.select("query_id", F.col(weights).alias("weights")).dropna(), "weights")
     n_shards, n_blocks = parts_for(posted.count(), shard_rows), parts_for(asked.count(), query_block)
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("place", T.LongType()), T.StructField("copies", T.LongType()),
         T.StructField("key", rows.schema[key].dataType), T.StructField("score", T.LongType()),
     ])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (
-                ("query_id", right.schema.field("query_id").type), ("key", left.schema.field("key").type),
+                ("query_id", right.schema.field("query_id").type), ("place", pa.int64()), ("copies", pa.int64()), ("key", left.schema.field("key").type),
                 ("score", pa.int64()),
             )})
         held, wanted = same_width(matrix(left["weights"], np.int64), matrix(right["weights"], np.int64))
         shard = Postings(left["key"].to_numpy(), held)
         ids = right["query_id"].to_numpy()
         found = [shard.search(own, query, k) for own, query in zip(ids.tolist(), wanted, strict=True)]
+        each = np.repeat(np.arange(len(ids)), [len(f[0]) for f in found])
         return pa.table({
-            "query_id": pa.array(np.repeat(ids, [len(f[0]) for f in found])),
+            "query_id": pa.array(ids[each]),
+            "place": pa.array(right["place"].to_numpy()[each]), "copies": pa.array(right["copies"].to_numpy()[each]),
             "key": pa.array(np.concatenate([f[0] for f in found])),
             "score": pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)),
         })

@@ -100,3 +100,25 @@ def test_maxscore_query_skips_unusable_rows(spark, tmp_path):
     vectors(spark, rows).write.parquet(str(tmp_path / "embeddings.parquet"))
     got = sorted(tuple(r) for r in op2_maxscore(spark, str(tmp_path)).collect())
     assert got == [(0, 1, 1, 128 * 128 - 64 * 128), (0, 2, 50, 128 * 25 - 64 * 25), (50, 1, 1, 25 * 256), (50, 2, 0, 25 * 64)]
+
+
+@pytest.mark.parametrize("method", ["maxscore", "hnsw"])
+def test_repeated_query_rows_have_all_their_neighbours_each(spark, method):
+    """Three equal rows of a query, and another vector under the same id."""
+    draw = np.random.RandomState(4)
+    points = draw.randint(-9, 10, size=(80, 6)).astype(float)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    asked = [rows[0]] * 3 + [(0, points[1].tolist()), rows[20]]
+    if method == "maxscore":
+        table, queries = (spark.createDataFrame(r, "key bigint, w array<double>").selectExpr(
+            f"key AS {n}", "cast(w AS array<bigint>) AS weights") for r, n in ((rows, "vec_id"), (asked, "query_id")))
+        got = maxscore.search(queries, table, 5, shard_rows=30, query_block=2).collect()
+    else:
+        table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        queries = spark.createDataFrame(asked, "query_id bigint, embedding array<double>")
+        got = hnsw.search(hnsw.build(table, shard_rows=30), queries, 5, query_block=2).collect()
+    expected = [
+        (key, n + 1, other, score) for key, point in asked
+        for n, (other, score) in enumerate(ranked(points @ np.array(point), np.arange(80), key, 5))
+    ]
+    assert sorted(tuple(r) for r in got) == sorted(expected)
