@@ -22,6 +22,9 @@ SHARD_ROWS = 8_192
 LINKS = 16
 CANDIDATES = 48
 BEAM = 96
+#: Beam of the upper layers. All its points are gone on from, since a group of many vectors close together
+#: has no links out of it: a descent by the nearest alone that enters the wrong one does not leave it.
+UPPER_BEAM = 64
 STEP = 256
 INDEX_SCHEMA = (
     "shard int, width int, layers int, vectors binary, norms binary, id_ends binary, ids binary, "
@@ -124,7 +127,10 @@ class Graph:
         self.flat = [flat[e - s : e] for s, e in zip(sizes, ends, strict=True)]
 
     def walk(self, level: int, queries: np.ndarray, entry: np.ndarray, beam: int) -> np.ndarray:
-        """Places in the layer of the beam's points for each query, nearest first, -1 where fewer."""
+        """Places in the layer of the beam's points for each query, nearest first, -1 where fewer.
+
+        `entry` has the places to start from, in the same form.
+        """
         points, flat = self.points[self.members[level]], self.flat[level]
         n, rows = len(queries), np.arange(len(queries))
         seen = np.zeros((n, len(points) + 1), dtype=bool)  # the last column stands for -1
@@ -132,9 +138,11 @@ class Graph:
         held = np.full((n, beam), -1, dtype=np.int64)
         value = np.full((n, beam), -np.inf)
         done = np.ones((n, beam), dtype=bool)
-        held[:, 0], done[:, 0] = entry, False
-        value[:, 0] = np.einsum("ij,ij->i", points[entry], queries)
-        seen[rows, entry] = True
+        first = slice(0, min(beam, entry.shape[1]))
+        entry = entry[:, first]
+        held[:, first], done[:, first] = entry, entry < 0
+        value[:, first] = np.where(entry < 0, -np.inf, np.einsum("ijk,ik->ij", points[entry], queries))
+        seen[rows[:, None], entry] = True
         while True:
             active = np.flatnonzero(~done.all(axis=1))
             if not len(active):
@@ -157,10 +165,11 @@ class Graph:
     def search(self, queries: np.ndarray, beam: int) -> np.ndarray:
         """Places of the shard's vectors, nearest first, -1 where there are fewer."""
         asked = np.column_stack([queries, np.zeros(len(queries))])
-        entry = np.zeros(len(queries), dtype=np.int64)
+        entry = np.zeros((len(queries), 1), dtype=np.int64)
         for level in range(len(self.members) - 1, 0, -1):
-            entry = self.walk(level, asked, entry, 8)[:, 0]
-            entry = np.searchsorted(self.members[level - 1], self.members[level][entry])
+            held = self.walk(level, asked, entry, UPPER_BEAM)
+            below = np.searchsorted(self.members[level - 1], self.members[level][held])
+            entry = np.where(held < 0, -1, below)
         return self.walk(0, asked, entry, beam)
 
     def ids_of(self, place: int) -> np.ndarray:

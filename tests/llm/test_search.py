@@ -122,3 +122,20 @@ def test_repeated_query_rows_have_all_their_neighbours_each(spark, method):
         for n, (other, score) in enumerate(ranked(points @ np.array(point), np.arange(80), key, 5))
     ]
     assert sorted(tuple(r) for r in got) == sorted(expected)
+
+
+def test_hnsw_finds_neighbours_in_clusters():
+    """A third of the vectors in one of 60 tight clusters, which have no links out of them."""
+    draw = np.random.RandomState(3)
+    centres = draw.randn(60, 32)
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    which = np.where(draw.random_sample(4_000) < 1 / 3, 0, draw.randint(1, 60, size=4_000))
+    points = centres[which] + 0.02 * draw.randn(4_000, 32)
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    graph = hnsw.Graph(hnsw.build_shard(0, points, [np.array([i]) for i in range(4_000)]))
+    asked = draw.choice(4_000, 400, replace=False)
+    hits = []
+    for own, places in zip(asked, graph.search(points[asked], hnsw.BEAM), strict=True):
+        expected = {key for key, _ in ranked(points @ points[own], np.arange(4_000), own, 20)}
+        hits.append(len(expected & set(places[places != own][:20].tolist())))
+    assert min(hits) > 0 and sum(hits) / (20 * len(hits)) >= 0.99
