@@ -84,11 +84,17 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS
 
 
+def least_text(text: str = "text") -> Column:
+    """Of the texts of a group that of the smallest hash."""
+    return F.min(F.struct(F.xxhash64(text).alias("hash"), F.col(text).alias("text")))["text"]
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list:
     """A bounded sample of labelled documents outside the held-out fold: (doc_id, text, label).
 
     Of either class the `per_class` rows with the smallest hash of doc_id, so that the sample
-    does not depend on how the tables are split. Rows without a text or label take no part.
+    does not depend on how the tables are split. Rows without a text or label take no part. Of rows
+    that share a doc_id one counts, that of the smallest hash of its text.
     """
     known = labels.filter(F.col(label).isNotNull() & (fold() != 0)).select("doc_id", label)
     picked = None
@@ -97,7 +103,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
             F.xxhash64("doc_id").alias("order"), "doc_id", F.col(label).cast("int").alias("label")
         ).distinct().orderBy("order", "doc_id").limit(per_class)
         picked = ids if picked is None else picked.union(ids)
-    # At most 2 * per_class rows: bounded by the parameter, whatever the tables hold.
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", "order")
+    found = texts.join(F.broadcast(picked), "doc_id")
+    # One row of each picked id: at most 2 * per_class, whatever the tables hold.
+    rows = found.groupBy("doc_id", "label", "order").agg(least_text().alias("text"))
     return sorted(rows.collect(), key=lambda r: (r.order, r.doc_id, r.text))

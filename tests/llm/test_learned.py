@@ -201,3 +201,16 @@ def test_models_learn_and_survive_the_journey():
     assert (again.score(toxic) == model.score(toxic)).all()
     assert (again.toxic, again.ordinary) == (model.toxic, model.ordinary)
     assert b"VILE" in model.toxic and b"QUIET" not in model.toxic
+
+
+def test_training_samples_hold_one_row_of_each_id(spark, monkeypatch):
+    rows = [(i, f"text {i} {n} token0123456789abcdef") for i in range(40) for n in range(25 if i == 7 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    picked = [training_rows(d, labels, "toxic", 50) for d in (docs, docs.orderBy(F.desc("text")))]
+    assert sorted(r.doc_id for r in picked[0]) == [i for i in range(40) if not held_out(i)]
+    assert picked[0] == picked[1] and all((r.doc_id, r.text) in rows for r in picked[0])
+    seen = []
+    monkeypatch.setattr(secrets, "fit", seen.append)
+    secrets.train(docs)
+    assert len(seen[0]) == 40
