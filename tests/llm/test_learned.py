@@ -214,3 +214,12 @@ def test_training_samples_hold_one_row_of_each_id(spark, monkeypatch):
     monkeypatch.setattr(secrets, "fit", seen.append)
     secrets.train(docs)
     assert len(seen[0]) == 40
+
+
+def test_the_threshold_keeps_its_recall_when_findings_are_hard_to_tell():
+    draw = np.random.RandomState(6)
+    key = lambda n: "AKIA" + "".join(draw.choice(list("ABCDEFGHIJKLMNOP0123456789"), n)) + "7"
+    texts = [f"the value of it is {key(13 - i % 2)} and so on" for i in range(400)]
+    model = secrets.fit(texts)
+    found = [p >= model.threshold for t in texts for p in model.probability(model.logits(t, secrets.split_candidates(t)[1]))]
+    assert model.threshold < 0.9 and len(found) == 200 and np.mean(found) > 0.85
