@@ -1,16 +1,41 @@
-"""Joins that keep every row of the left side.
+"""Joins that keep every row of the left side, and a filter ahead of joins that do not.
 
-They are plain shuffle joins against a right side of one row per key. A key with a large share of
+The joins are plain shuffle joins against a right side of one row per key. A key with a large share of
 the rows makes a large partition, which the adaptive skew join splits (`session.SETTINGS`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelode.functions.text import text_or_blank, utrim
 
+#: A membership filter has so many words of 64 bits at most: 16 MB, whatever the tables hold.
+FILTER_WORDS = 1 << 20
+
+
+def may_be_in(df: DataFrame, keys: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
+    """Rows of `df` whose key may be one of `keys`: all that are, and few others while keys are few.
+
+    The hashes of the keys set bits of a fixed number of words, which go to every task, so that wide
+    rows need no shuffle to be told apart. Beyond some ten million keys more and more rows pass; a join
+    that follows decides, so none is lost and none too many stays.
+    """
+
+    def place(column: Column) -> Column:
+        return F.xxhash64(column).bitwiseAND(words - 1)
+
+    def bit(column: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(column), 58).cast("int")
+
+    # F.shiftleft takes a fixed number of places only.
+    flag = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col(key)))
+    table = keys.groupBy(place(F.col(key)).alias("_word")).agg(F.bit_or(flag).alias("_bits"))
+    placed = df.withColumn("_word", place(F.col(key)))
+    met = placed.join(F.broadcast(table), "_word")
+    return met.filter(F.bit_get("_bits", bit(F.col(key))) == 1).drop("_word", "_bits")
+
 
 def pending_recipients(recipients: DataFrame, sent: DataFrame, distinct: bool = False) -> DataFrame:
     """Recipients not in the sent log, ignoring case; duplicates stay unless `distinct`."""

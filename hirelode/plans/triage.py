@@ -2,17 +2,15 @@
 
 De-duplication comes before classification on purpose, and it looks at links and positions only:
 most postings of a run have been seen before, and their descriptions are neither shuffled nor
-matched to find that out. What is new is picked out of the postings by a semi join on link and
-position, nulls included, which no hot link can overload and which Spark broadcasts or filters by when
-the new ones are few; one row of each link is kept of what it lets through, since a posting may be
-repeated. Postings without a link go first of all, so they never meet in one task.
+matched to find that out. What is new is picked out of the postings where they lie, by a membership filter
+of bounded size over links and positions, nulls included; a join, which sees only what the filter
+lets through, makes it exact, and one row of each position is kept, since a posting may be repeated.
+Postings without a link go first of all, so they never meet in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +30,7 @@ from hirelode.functions.classify import (
 from hirelode.functions.text import first_non_empty, non_blank
 from hirelode.functions.urls import clean_url
 from hirelode.operators.dedup import DISCOVERY_ORDER, first_per_key, insert_if_absent, unseen
+from hirelode.operators.joins import may_be_in
 
 PLACEHOLDERS = {"title": "Unknown Title", "company": "Unknown Company", "location": "Germany"}
 
@@ -73,13 +72,13 @@ def triage(postings: DataFrame, history: DataFrame, order=DISCOVERY_ORDER) -> Da
     all of them are one posting, of which one row stays, whichever order they come in.
     """
     cleaned = clean_postings(postings)
-    position = ["apply_link", *order]
-    first = first_per_key(cleaned.select(*position), ["apply_link"], order)
-    fresh = unseen(first, history, "apply_link", unique=True)
-    at = fresh.select(*[F.col(c).alias(f"_at_{i}") for i, c in enumerate(position)])
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_at_{i}")) for i, c in enumerate(position)])
-    found = cleaned.join(at, same, "left_semi")
-    return classify(first_per_key(found, ["apply_link"], [*order, F.xxhash64(*cleaned.columns)]))
+    first = first_per_key(cleaned.select("apply_link", *order), ["apply_link"], order)
+    # A struct is never null, so positions with a null are compared like the others.
+    at = F.struct("apply_link", *order).alias("_at")
+    fresh = unseen(first, history, "apply_link", unique=True).select(at)
+    # Positions are distinct, so the join adds no rows. A semi join would be moved ahead of the filter.
+    found = may_be_in(cleaned.withColumn("_at", at), fresh, "_at").join(fresh, "_at")
+    return classify(first_per_key(found, ["_at"], [F.xxhash64(*cleaned.columns)]).drop("_at"))
 
 
 def triage_v1(postings: DataFrame, history: DataFrame, order=DISCOVERY_ORDER) -> DataFrame:

@@ -168,3 +168,16 @@ def test_triage_keeps_null_positions_and_one_row_of_repeated_ones(spark, broadca
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found[0] == found[1]
     assert [r[:2] for r in found[0]] == [("l1", 1), ("l2", 3), ("l3", None), ("l4", 4)]
+
+
+def test_membership_filter_loses_no_row(spark):
+    df = spark.range(4_000).select(F.struct(F.when(F.col("id") % 7 > 0, F.col("id")).alias("a"), F.lit("x").alias("b")).alias("k"), "id")
+    keys = df.filter("id % 40 = 0").select("k")
+    wanted = {r.id for r in df.join(keys.distinct(), "k", "left_semi").collect()}
+    for words in (1, 64, 1 << 20):
+        got = joins.may_be_in(df, keys, "k", words)
+        assert got.columns == df.columns
+        kept = {r.id for r in got.collect()}
+        assert wanted <= kept
+    assert len(kept) < len(wanted) + 20
+    assert joins.may_be_in(df, keys.limit(0), "k").count() == 0

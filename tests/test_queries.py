@@ -57,15 +57,28 @@ def test_plans_have_no_python_and_no_cross_join(spark, plan, name):
         assert operator not in text
 
 
-def test_triage_shuffles_no_description_to_find_the_new_postings(spark, plan):
+def nodes(plan):
+    """All operators of a physical plan, each with its output's column names."""
+    yield plan, [plan.output().apply(i).name() for i in range(plan.output().size())]
+    for i in range(plan.children().size()):
+        yield from nodes(plan.children().apply(i))
+
+
+def test_triage_shuffles_the_descriptions_of_new_postings_only(spark):
+    """With nothing broadcast but the filter: an exchange with descriptions has the filter below it."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        text = plan(QUERIES["triage_postings"](spark, SMALL))
+        executed = QUERIES["triage_postings"](spark, SMALL)._jdf.queryExecution().executedPlan()
+        exchanges = [
+            (node, columns) for node, columns in nodes(executed)
+            if node.nodeName() == "Exchange" and "hashpartitioning" in node.outputPartitioning().toString()
+        ]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    lines = text.splitlines()
-    links = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(apply_link" in line and "keyword_idx" not in line]
-    assert len(links) == 2  # those of the postings, and those of the history
-    for at in links:
-        below = next(line for line in lines[at + 1 :] if "Project" in line or "HashAggregate" in line or "Window" in line)
-        assert "description" not in below
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    wide = [node for node, columns in exchanges if "description" in columns]
+    assert len(wide) == 1
+    assert any(n.nodeName() == "BroadcastHashJoin" and "_bits" in names for n, names in nodes(wide[0]))
+    by_link = [c for node, c in exchanges if node.outputPartitioning().toString().startswith("hashpartitioning(apply_link")]
+    assert len(by_link) == 2  # those of the postings, and those of the history
