@@ -33,17 +33,23 @@ LEARN = 0.6
 TELLING_SHARE, TELLING_RATIO, TELLING_LEAST = 0.015, 10.0, 4
 BEGINNINGS = (4, 5, 6)
 HEAD = 5
-WORD = re.compile(rb"[^\s!-@\[-`{-~]+")
+
+
+#: Small letters; white space, punctuation and digits, in any number, only part words.
+LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in bytes(range(256)).lower())
+#: White space beyond ASCII, as UTF-8.
+BLANKS = re.compile(rb"\xc2[\x85\xa0]|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe3\x80\x80|\xef\xbb\xbf")
 
 
 def marked(text: bytes) -> bytes:
-    """A-Z and a-z small, but for the first bytes of each word: large there, so that a word's beginning
-    is not matched by the same letters inside another."""
-    return b" ".join([w[:HEAD].upper() + w[HEAD:] for w in text.lower().split(b" ")])
+    """The words of a text between single blanks, small but for the ASCII letters among the first bytes of each:
+    large there, so that a word's beginning is not matched by the same letters inside another."""
+    words = BLANKS.sub(b" ", text).translate(LETTERS).split()
+    return b" ".join([b"", *[w[:HEAD].upper() + w[HEAD:] for w in words], b""]) if words else b""
 
 
 def windows(text: bytes) -> list[bytes]:
-    """Consecutive pieces of the whole marked text; the empty text is one empty window."""
+    """Consecutive pieces of the whole marked text; a text without words is one empty window."""
     text = marked(text)
     pieces, at = [], 0
     while at < len(text):
@@ -64,7 +70,7 @@ def shares(texts: list[bytes]) -> Counter:
     """In how many of the texts each word and word beginning occurs."""
     counts: Counter = Counter()
     for text in texts:
-        counts.update({b for w in set(WORD.findall(marked(text))) for b in beginnings(w)})
+        counts.update({b for w in set(marked(text).split()) for b in beginnings(w)})
     return counts
 
 
@@ -78,7 +84,7 @@ def telling_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     }
     samples = []
     for text in toxic:
-        for word in WORD.findall(marked(text)):
+        for word in marked(text).split():
             if known := beginnings(word) & telling:
                 longest = max(known, key=len)
                 samples.append(b" " + longest + (b" " if longest == word else b""))
@@ -86,13 +92,14 @@ def telling_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 
 
 def trained(size: int, samples: list[bytes]) -> bytes:
-    """A dictionary trained on the samples; their own bytes where they are too few to train on."""
-    distinct = dict.fromkeys(samples)
+    """A dictionary trained on the samples; where they are too few to train on, the samples themselves, those
+    that occur most often last: zstandard reaches the end of a dictionary best, so the start gives way."""
+    distinct = [s for s, _ in sorted(Counter(samples).items(), key=lambda c: (c[1], c[0]))]
     try:
         made = zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         made = b""
-    return made if any(s.strip() in made for s in distinct if s.strip()) else b"".join(distinct)[:size]
+    return made if any(s.strip() in made for s in distinct if s.strip()) else b"".join(distinct)[-size:]
 
 
 @dataclass
