@@ -15,6 +15,19 @@ from hirelode.functions.text import text_or_blank, utrim
 FILTER_WORDS = 1 << 20
 
 
+def _bit(key: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 58).cast("int")
+
+
+def _with_bits(df: DataFrame, keys: DataFrame, key: str, words: int, how: str) -> DataFrame:
+    """The bits set by `keys` in the word that a row's key falls in, as column _bits."""
+    place = F.xxhash64(key).bitwiseAND(words - 1)
+    # F.shiftleft takes a fixed number of places only.
+    flag = F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(key))
+    table = keys.groupBy(place.alias("_word")).agg(F.bit_or(flag).alias("_bits"))
+    return df.withColumn("_word", place).join(F.broadcast(table), "_word", how).drop("_word")
+
+
 def may_be_in(df: DataFrame, keys: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
     """Rows of `df` whose key may be one of `keys`: all that are, and few others while keys are few.
 
@@ -22,19 +35,14 @@ def may_be_in(df: DataFrame, keys: DataFrame, key: str, words: int = FILTER_WORD
     rows need no shuffle to be told apart. Beyond some ten million keys more and more rows pass; a join
     that follows decides, so none is lost and none too many stays.
     """
+    met = _with_bits(df, keys, key, words, "inner")
+    return met.filter(F.bit_get("_bits", _bit(key)) == 1).drop("_bits")
 
-    def place(column: Column) -> Column:
-        return F.xxhash64(column).bitwiseAND(words - 1)
-
-    def bit(column: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(column), 58).cast("int")
 
-    # F.shiftleft takes a fixed number of places only.
-    flag = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col(key)))
-    table = keys.groupBy(place(F.col(key)).alias("_word")).agg(F.bit_or(flag).alias("_bits"))
-    placed = df.withColumn("_word", place(F.col(key)))
-    met = placed.join(F.broadcast(table), "_word")
-    return met.filter(F.bit_get("_bits", bit(F.col(key))) == 1).drop("_word", "_bits")
+def flagged(df: DataFrame, keys: DataFrame, key: str, out: str, words: int = FILTER_WORDS) -> DataFrame:
+    """All rows, with whether `may_be_in` would keep them as column `out`."""
+    met = _with_bits(df, keys, key, words, "left")
+    return met.withColumn(out, F.coalesce(F.bit_get("_bits", _bit(key)) == 1, F.lit(False))).drop("_bits")
 
 
 def pending_recipients(recipients: DataFrame, sent: DataFrame, distinct: bool = False) -> DataFrame:
