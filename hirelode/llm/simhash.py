@@ -252,13 +252,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE
 ) -> DataFrame:
-    """(key, fp, component_id, text_hash) of every row: the smallest key that links of fingerprints reach.
+    """(key, fp, component_id, text_hash, root) of every row: the smallest key that links of fingerprints reach.
 
     Two rows are linked if their fingerprints differ in at most `distance` bits; texts without words
     (null, empty, blank) have fingerprint zero and are linked like any others. Repeated rows, and
     rows that share a key, stay and are classed by their own text; text_hash tells them apart (zero
-    for null). Other columns are not looked at; an empty table gives no rows. A null key is not
-    counted when the smallest is looked for.
+    for null). Components may have one smallest key if rows share it; their root, a fingerprint, tells them
+    apart. Other columns are not looked at; an empty table gives no rows. A null key is not counted when
+    the smallest is looked for.
     """
     named = df.select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), text_hash(text).alias("text_hash")
@@ -271,11 +272,11 @@ def near_duplicates(
     member = components(links(fps.select("fp"), distance), "u", "v", "fp", "root")
     linked = materialize(member.join(fps, "fp"))
     smallest = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")))
-    classed = linked.join(smallest, "root").select("fp", "component_id")
+    classed = linked.join(smallest, "root").select("fp", "component_id", "root")
     classes = materialize(fps.join(classed, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first").alias("component_id")
+        "fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root")
     ))
-    return marked.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id", "text_hash")
+    return marked.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id", "text_hash", "root")
 
 
 def text_hash(text: str) -> Column:
@@ -285,12 +286,14 @@ def text_hash(text: str) -> Column:
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component of near-duplicates one row: that of the smallest key; columns stay.
 
-    If rows share that key, the text with the smallest hash stays, once. A component of rows
-    without any key has nothing to tell which is first: its rows all stay.
+    If rows of a component share that key, the text with the smallest hash stays, once. Rows of one key
+    in several components are apart, and each component keeps its own. A component of rows without any
+    key has nothing to tell which is first: its rows all stay.
     """
     classes = near_duplicates(df.select(f"`{key}`", f"`{text}`"), key, text)
-    first = classes.filter(F.col(f"`{key}`") == F.col("component_id"))
-    kept = first.groupBy(F.col(f"`{key}`").alias("__llm_key")).agg(F.min("text_hash").alias("__llm_hash"))
+    named = F.struct(F.col(f"`{key}`").alias("key"), F.col("text_hash").alias("hash"))
+    kept = classes.filter(F.col(f"`{key}`") == F.col("component_id")).groupBy("root").agg(F.min(named).alias("least"))
+    kept = kept.select(F.col("least.key").alias("__llm_key"), F.col("least.hash").alias("__llm_hash"))
     hashed = df.withColumn("__llm_text", text_hash(text))
     same = (F.col(f"`{key}`") == F.col("__llm_key")) & (F.col("__llm_text") == F.col("__llm_hash"))
     rows = hashed.join(kept, same, "left_semi").dropDuplicates([key, "__llm_text"])

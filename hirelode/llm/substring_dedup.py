@@ -11,20 +11,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelode.llm.common import prepare, with_columns
+from hirelode.operators.joins import flagged
 
 #: The hash has 16 bits and shifts by one for each byte, so its window is 16 bytes.
 WINDOW = 16
 #: The least hash of so many places in a row is a cut.
 PLACES = 32
 LEAST, MOST = 16, 256
-#: A span is reported from this many characters on. A repeated passage loses 16 bytes and about a
-#: chunk at its ends, 44 bytes as a rule and seldom more than 100; one of 50 words has twice that.
-LEAST_SPAN = 64
+#: A span is reported from this many characters on: more than a line of a few words, which many
+#: documents may share. A repeated passage loses 16 bytes and about a chunk at its ends, 44 bytes as a rule
+#: and seldom more than 100; one of 50 words has more left.
+LEAST_SPAN = 96
 #: A cut moves to the edge of a word by so many characters at most.
 WORD_REACH = 40
 
@@ -111,62 +113,84 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return number, first, characters[end] - characters[begin], halves[:, 0], halves[:, 1]
 
 
-def chunks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, length, high, low) of every chunk of every whole text."""
+def chunks(df: DataFrame, key: str = "doc_id", text: str = "text", *keep: str) -> DataFrame:
+    """(key, the columns to keep, start, length, high, low) of every chunk of every whole text."""
     prepare(df.sparkSession)
     made = T.StructType.fromDDL("start int, length int, high bigint, low bigint")
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *made.fields])
+    kept = [key, *keep]
+    schema = T.StructType([*[df.schema[c] for c in kept], *made.fields])
     names = [f.name for f in schema.fields]
 
     def run(batches):
         for batch in batches:
-            texts = [v or b"" for v in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts = [v or b"" for v in batch.column(len(kept)).cast(pa.binary()).to_pylist()]
             number, first, size, high, low = chunks_of(texts)
             if len(number):
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(number)),
+                    *[batch.column(i).take(pa.array(number)) for i in range(len(kept))],
                     pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)),
                     pa.array(high.astype(np.int64)), pa.array(low.astype(np.int64)),
                 ], names=names)
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(run, schema)
+
+
+def told_apart(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Append __llm_row, which tells rows of one key and unlike texts apart: the hash of the text.
+
+    It is 0 for a row that has its key for itself, as nearly all have. Which may not is looked up in a
+    filter of bounded size; texts are not shuffled.
+    """
+    hashed = F.xxhash64(F.col(f"`{text}`"))
+    several = df.select(F.col(f"`{key}`").alias("__llm_id"), hashed.alias("h")).groupBy("__llm_id").agg(
+        F.min("h").alias("least"), F.max("h").alias("most")
+    ).filter("least < most").select("__llm_id")
+    marked = flagged(df.withColumn("__llm_id", F.col(f"`{key}`")), several, "__llm_id", "__llm_shared")
+    row = F.when(F.col("__llm_shared"), hashed).otherwise(F.lit(0).cast("long"))
+    return marked.withColumn("__llm_row", row).drop("__llm_id", "__llm_shared")
+
+
+def spans_of(told: DataFrame, key: str, text: str, least_span: int) -> DataFrame:
+    """(key, row, start, end, first) of the spans of rows `told_apart`."""
+    keyed = told.filter(F.col(f"`{key}`").isNotNull())
+    found = chunks(keyed, key, text, "__llm_row").withColumnRenamed(key, "key").withColumnRenamed("__llm_row", "row")
+    held = found.groupBy("high", "low").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    shared = held.filter("first < last").drop("last")
+    copies = found.join(shared, ["high", "low"]).filter("key > first")
+    # Repeated rows meet here, ahead of the window, whose group is then one text.
+    pieces = copies.groupBy("key", "row", "start").agg(
+        F.max(F.col("start") + F.col("length")).alias("end"), F.min("first").alias("first")
+    )
+    order = Window.partitionBy("key", "row").orderBy("start")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = pieces.withColumn("opens", F.when(F.col("start") <= before, 0).otherwise(1))
+    numbered = opened.withColumn("span", F.sum("opens").over(order))
+    spans = numbered.groupBy("key", "row", "span").agg(
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"),
+        F.min_by("first", "start").alias("first"),
+    )
+    return spans.filter(F.col("end") - F.col("start") >= least_span).drop("span")
 
 
 def repeated_spans(
     df: DataFrame, key: str = "doc_id", text: str = "text", least_span: int = LEAST_SPAN
 ) -> DataFrame:
-    """Spans that a document shares with documents of smaller keys: (key, start, end, first_key).
+    """Spans that a document shares with documents of smaller keys: (key, start, end, first_key, row).
 
     Start and end count characters, the end is exclusive; `first_key` is the smallest key that holds
     the span's first chunk, and the span stays there. Whole texts are read, of any length; a null or
-    empty text has no spans. Text that repeats within one document alone is not reported. Rows that
-    share a key count as one document: what they share with each other is not reported, and their
-    spans are joined where they meet. Rows with a null key take no part. Other columns are not
-    looked at; an empty table gives no rows.
+    empty text has no spans. Text that repeats within one document alone is not reported, nor is what
+    rows of one key share with each other alone; if their texts are unlike, `row`, else 0, is the hash of
+    the text that the span is in. Repeated rows give their spans once. Rows with a null key take no part.
+    Other columns are not looked at; an empty table gives no rows.
 
     One combining aggregate finds the chunks that two or more documents hold, so a chunk of a third
-    of all documents shuffles one row per task; the join that follows is left to skew handling.
+    of all documents shuffles one row per task; the join that follows is left to skew handling. Neighbouring
+    chunks of a text join to spans in one pass in order of their start.
     """
-    found = chunks(df.filter(F.col(f"`{key}`").isNotNull()), key, text).withColumnRenamed(key, "key")
-    held = found.groupBy("high", "low").agg(F.min("key").alias("first"), F.max("key").alias("last"))
-    shared = held.filter("first < last").drop("last")
-    copies = found.join(shared, ["high", "low"]).filter("key > first").select("key", "start", "length", "first")
-    piece = F.sort_array(F.collect_set(F.struct("start", "length", "first")))
-    # A group is the chunks of one document. Neighbouring chunks join; the smaller part of the
-    # state is the list of closed spans, the rest the span that is open.
-    runs = copies.groupBy("key").agg(piece.alias("pieces")).select("key", F.expr("""
-        aggregate(pieces, cast(array() as array<struct<start:int,end:int,first:%s>>), (spans, p) ->
-            if(size(spans) > 0 and element_at(spans, -1).end >= p.start,
-               concat(slice(spans, 1, size(spans) - 1), array(named_struct(
-                   'start', element_at(spans, -1).start,
-                   'end', greatest(element_at(spans, -1).end, p.start + p.length),
-                   'first', element_at(spans, -1).first))),
-               concat(spans, array(named_struct('start', p.start, 'end', p.start + p.length, 'first', p.first)))))
-    """ % df.schema[key].dataType.simpleString()).alias("spans"))
-    single = runs.select("key", F.explode("spans").alias("s")).select("key", "s.*")
-    return single.filter(F.col("end") - F.col("start") >= least_span).select(
-        F.col("key").alias(key), F.col("start").cast("long").alias("start"),
-        F.col("end").cast("long").alias("end"), F.col("first").alias(f"first_{key}"),
+    told = told_apart(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text)
+    return spans_of(told, key, text, least_span).select(
+        F.col("key").alias(key), "start", "end", F.col("first").alias(f"first_{key}"), "row"
     )
 
 
@@ -205,12 +229,17 @@ def remove_repeats(
     """The rows with the spans of `repeated_spans` taken out of their texts, at whole words.
 
     The first document that holds a span keeps it. Rows whose text is taken out altogether, up to
-    white space, go; all other rows stay, those with a null key or text as they are. Columns stay.
+    white space, go; all other rows stay, those with a null key or text as they are, and each row loses
+    the spans of its own text only, whichever rows share its key. Columns stay.
     """
-    spans = repeated_spans(df, key, text, least_span).groupBy(key).agg(
-        F.transform(F.collect_list(F.struct("start", "end")), lambda s: F.concat_ws(":", s["start"], s["end"])).alias("__llm_s")
-    ).select(F.col(key).alias("__llm_key"), F.array_join("__llm_s", ",").alias("__llm_spans"))
-    joined = df.join(spans, F.col(f"`{key}`") == F.col("__llm_key"), "left").drop("__llm_key")
+    told = told_apart(df, key, text)
+    spans = spans_of(told.select(F.col(f"`{key}`"), F.col(f"`{text}`"), "__llm_row"), key, text, least_span)
+    listed = F.transform(F.collect_list(F.struct("start", "end")), lambda s: F.concat_ws(":", s["start"], s["end"]))
+    spans = spans.groupBy("key", "row").agg(F.array_join(listed, ",").alias("__llm_spans")).select(
+        F.col("key").alias("__llm_key"), F.col("row").alias("__llm_in"), "__llm_spans"
+    )
+    own = (F.col(f"`{key}`") == F.col("__llm_key")) & (F.col("__llm_row") == F.col("__llm_in"))
+    joined = told.join(spans, own, "left").drop("__llm_key", "__llm_in", "__llm_row")
 
     def compute(texts, found):
         cleaned, left = [], []

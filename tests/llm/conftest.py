@@ -4,6 +4,7 @@ EDGE = [
     (1, "plain words of a text", "x"), (2, None, "y"), (3, "", "z"), (4, "  \n\t ", None), (4, "  \n\t ", None),
     (5, "word " * 30_000, "long"), (6, "x" * 120_000, "unbroken"), (7, "Ünïcödé 日本 text \x1c here", "u"),
     (None, "no key at all", "n"), (8, "plain words of a text", "copy"),
+    (9, "one of two unlike texts under a key", "p"), (9, "what else is filed there has no word in common", "q"),
 ]
 SCHEMA = "doc_id bigint, text string, score string"
 

@@ -144,7 +144,7 @@ def test_one_row_of_each_component_stays(spark, edge, empty):
     assert kept.columns == edge.columns
     # The text without a key is alone in its component; the blank texts are one, with key 2.
     ids = sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect())
-    assert ids == [-1, 1, 2, 5, 6, 7]
+    assert ids == [-1, 1, 2, 5, 6, 7, 9, 9]
     assert simhash.keep_first(empty).collect() == []
 
 
@@ -272,3 +272,64 @@ def test_text_without_blanks_is_cut_where_the_span_ends(spark):
     assert substring_dedup.without(text, [(4, 80)]) == text[:4] + text[80:]
     assert substring_dedup.without(text, [(1, 80)]) == "ab " + text[80:]
     assert substring_dedup.without(text, [(4, 109)]) == text[:4] + " gh"
+
+
+PASSAGE = " ".join(f"passage{i}" for i in range(60))
+
+
+def test_rows_of_one_key_in_two_components_both_stay(spark):
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, PASSAGE), (1, other), (1, other), (2, PASSAGE), (3, other), (4, "alone of its kind here")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == sorted({(1, PASSAGE), (1, other), (4, "alone of its kind here")})
+
+
+def test_each_row_loses_the_spans_of_its_own_text(spark):
+    plain = " ".join(f"plain{i}" for i in range(100))
+    rows = [(1, PASSAGE), (2, f"before it {PASSAGE} and behind"), (2, plain), (2, plain), (3, plain), (5, f"a {PASSAGE}"), (5, None), (5, f"b {PASSAGE} c")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, row string")
+    spans = substring_dedup.repeated_spans(df).collect()
+    texts = {(r.doc_id, r.row) for r in spans}
+    assert len(texts) == 4 and {r.doc_id for r in spans} == {2, 3, 5}
+    left = sorted((r.doc_id, r.text or "") for r in substring_dedup.remove_repeats(df).collect())
+    assert left[0] == (1, PASSAGE) and [t for k, t in left if k == 2].count(plain) == 2
+    assert not any(k == 3 for k, _ in left) and (5, "") in left
+    assert len(left) == 7 and all(len(t) < 300 for k, t in left if k in (2, 5) and t != plain)
+
+
+def brute_cuts(data: bytes) -> list[int]:
+    """Ends of chunks from the definition: a rolling sum of 16 bytes, cuts at the least of some 32 places."""
+    gear = [xxhash.xxh64_intdigest(bytes([b]), seed=7) & 0xFFFF for b in range(256)]
+    rolled = {at: sum(gear[data[at - k]] << k for k in range(16)) & 0xFFFF for at in range(15, len(data) - 1)}
+    places = sorted(rolled)
+    least = set()
+    for i in range(len(places) - 31):
+        some = places[i : i + 32]
+        low = min(rolled[p] for p in some)
+        least |= {p for p in some if rolled[p] == low}
+    ends, at = [], 0
+    for cut in [*sorted(p + 1 for p in least), len(data)]:
+        while cut - at > 256:
+            at += 256
+            ends.append(at)
+        if cut - at >= 16 or cut == len(data):
+            ends.append(cut)
+            at = cut
+    return ends
+
+
+@pytest.mark.parametrize("text", [PASSAGE, "a" * 1_000, "ab " * 300, "short", "x" * 15 + "yz" * 40])
+def test_cuts_equal_the_definition(text):
+    _, first, size, _, _ = substring_dedup.chunks_of([b"ahead", text.encode(), b"behind"])
+    number = substring_dedup.chunks_of([b"ahead", text.encode(), b"behind"])[0]
+    made = [int(f + s) for n, f, s in zip(number, first, size, strict=True) if n == 1]
+    assert made == brute_cuts(text.encode())
+
+
+def test_very_many_spans_of_one_document(spark):
+    """20,000 separate spans: one pass over their starts, not a fold of a growing list."""
+    pieces = [f"{i:06d} " + " ".join(f"{i * 7919 % 10007}w{j}" for j in range(16)) for i in range(20_000)]
+    shared = spark.createDataFrame([(1, "\n".join(pieces))], "doc_id bigint, text string")
+    mixed = spark.createDataFrame([(2, "\n".join(f"{p} {hash((i, 1)) & 0xFFFFFFFF:x}{i * 31337:x} own{i}tail{i * 17:x}" * 1 for i, p in enumerate(pieces)))], "doc_id bigint, text string")
+    found = substring_dedup.repeated_spans(shared.union(mixed), least_span=40)
+    assert found.count() > 10_000
