@@ -27,7 +27,7 @@ BEAM = 96
 UPPER_BEAM = 64
 STEP = 256
 INDEX_SCHEMA = (
-    "shard int, width int, layers int, vectors binary, norms binary, id_ends binary, ids binary, "
+    "shard int, width int, layers int, kept int, vectors binary, norms binary, id_ends binary, ids binary, "
     "sizes binary, members binary, neighbours binary"
 )
 
@@ -94,14 +94,14 @@ def layer(points: np.ndarray, links: int) -> np.ndarray:
     return made
 
 
-def build_shard(shard: int, vectors: np.ndarray, ids: list[np.ndarray], links: int = LINKS) -> dict:
+def build_shard(shard: int, vectors: np.ndarray, ids: list[np.ndarray], k: int = 20, links: int = LINKS) -> dict:
     points = lifted(vectors)
     draw = np.random.RandomState(shard).random_sample(len(points))
     tops = np.minimum((-np.log(1.0 - draw) / np.log(links)).astype(int), 8)
     members = [np.flatnonzero(tops >= level).astype(np.int32) for level in range(tops.max() + 1)]
     flat = [layer(points[m], links) for m in members]
     return {
-        "shard": shard, "width": vectors.shape[1], "layers": len(members),
+        "shard": shard, "width": vectors.shape[1], "layers": len(members), "kept": k + 1,
         "vectors": vectors.tobytes(), "norms": points[:, -1].tobytes(),
         "id_ends": np.cumsum([len(i) for i in ids]).astype(np.int64).tobytes(),
         "ids": np.concatenate(ids).astype(np.int64).tobytes(),
@@ -197,7 +197,7 @@ def build(
     answer of k rows without the query's own can hold, so a vector that a third of the rows have is
     one point. Keys that are null and vectors that are null, zero or hold null or non-finite
     components take no part. Vectors should have one length; shorter ones end in zeros. Write the
-    result to a table to search it again.
+    result to a table to search it again, for at most the k it was built with.
     """
     prepare(df.sparkSession)
     same = Window.partitionBy("vector").orderBy("key")
@@ -211,8 +211,8 @@ def build(
         # The order of arrival must not decide, nor the level of a vector.
         order = np.argsort([v[0] for v in lists], kind="stable")
         vectors = matrix(group["vector"], np.float64)[order]
-        row = build_shard(group["shard"][0].as_py(), vectors, [lists[i] for i in order])
-        kinds = {"shard": pa.int32(), "width": pa.int32(), "layers": pa.int32()}
+        row = build_shard(group["shard"][0].as_py(), vectors, [lists[i] for i in order], k)
+        kinds = dict.fromkeys(("shard", "width", "layers", "kept"), pa.int32())
         return pa.table({n: pa.array([v], type=kinds.get(n, pa.binary())) for n, v in row.items()})
 
     dealt = points.withColumn("shard", part_of("vector", n_shards))
@@ -228,11 +228,16 @@ def search(
     `queries` has query_id and the vector. Scores are inner products of the vectors as given, in
     double precision; ties go to the smaller key; the row that has the query's id is left out.
     Every row of `queries` has its k rows: equal queries are searched once and the result repeated.
-    Queries of vectors that take no part get no rows; an empty index gives none.
+    Queries of vectors that take no part get no rows; an empty index gives none. The lowest layer is
+    walked with a beam of at least 2 (k + 1) points. A k over the one the index was built with is an error,
+    as the index may lack keys of equal vectors.
     """
+    beam = max(beam, 2 * (k + 1))
     prepare(index.sparkSession)
     asked = counted(usable(queries, "query_id", vector).withColumnRenamed("key", "query_id"), "vector")
-    sizes = index.select("shard").agg(F.max("shard").alias("last")).first()
+    sizes = index.agg(F.max("shard").alias("last"), F.min("kept").alias("kept")).first()
+    if sizes.kept is not None and sizes.kept < k + 1:
+        raise ValueError(f"the index was built for k = {sizes.kept - 1}")
     if sizes.last is None:
         none = (F.lit(0).cast("long").alias(key), F.lit(0.0).alias("score"))
         return best(asked.select("query_id", "place", "copies", *none).limit(0), k, key)

@@ -139,3 +139,24 @@ def test_hnsw_finds_neighbours_in_clusters():
         expected = {key for key, _ in ranked(points @ points[own], np.arange(4_000), own, 20)}
         hits.append(len(expected & set(places[places != own][:20].tolist())))
     assert min(hits) > 0 and sum(hits) / (20 * len(hits)) >= 0.99
+
+
+def test_hnsw_gives_as_many_as_asked_for(spark):
+    draw = np.random.RandomState(11)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(draw.normal(size=(600, 8)))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    query = table.filter("vec_id IN (0, 20)").withColumnRenamed("vec_id", "query_id")
+    index = hnsw.build(table, k=300)
+    points = np.array([v for _, v in rows], dtype=np.float32).astype(np.float64)
+    for k in (150, 300):
+        got = hnsw.search(index, query, k).collect()
+        assert len(got) == 2 * k
+        for own in (0, 20):
+            exact = {i for i, _ in ranked(points @ points[own], np.arange(600), own, k)}
+            assert len(exact & {r.vec_id for r in got if r.query_id == own}) >= 0.95 * k
+    equal = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "vec_id bigint, embedding array<float>")
+    asked = equal.filter("vec_id = 3").withColumnRenamed("vec_id", "query_id")
+    got = sorted(hnsw.search(hnsw.build(equal, k=50), asked, 50).collect(), key=lambda r: r.rank)
+    assert [r.vec_id for r in got] == [i for i in range(51) if i != 3]
+    with pytest.raises(ValueError):
+        hnsw.search(hnsw.build(equal), asked, 50)
