@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hirelode import rules
 from hirelode.catalog import fixtures as fx
 from hirelode.functions import classify, emails, text, urls
-from hirelode.operators import contacts, dedup, joins, matching, order, pages, report
+from hirelode.operators import contacts, dedup, joins, matching, order, pages, ranking, report
 from hirelode.plans import contacts as contacts_plan
 from hirelode.plans import triage as triage_plan
 from hirelode.session import materialize, scratch_path
@@ -977,6 +977,13 @@ def best_jobs_per_cv(spark, sf):
     )
 
 
+@query
+def top_jobs_per_cv(spark, sf):
+    return ranking.top_jobs_per_cv(
+        fx.jobs(spark, sf), fx.cvs(spark, sf), fx.offers(spark, sf), fx.roles(spark, sf), 10
+    ).select("cv_id", "rank", "job_id", "overall_similarity_percentage")
+
+
 # --- K: increments -----------------------------------------------------------
 
 NOW = "2024-01-20 12:00:00"

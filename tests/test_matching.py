@@ -1,9 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from hirelode.operators import matching
+from hirelode.catalog import fixtures as fx
+from hirelode.operators import matching, ranking
 
 JOBS = [
     (1, "Python data, AWS", [1.0, 0.0], [1.0, 0.0]),
@@ -82,3 +84,45 @@ def test_a_cv_in_a_third_of_all_pairs(spark, sides):
     )
     joined = matching.attach_pairs(pairs, matching.prepare_jobs(jobs), matching.prepare_cvs(cvs))
     assert joined.count() == 900
+
+
+def test_best_postings_over_all_pairs_equal_the_full_product(spark, sides, offers):
+    """Ties, equal postings, hot words, rows without a score, more CVs than a block holds."""
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    common = words[:40]
+
+    def text(most):
+        return " ".join(draw.choices(common, k=draw.randint(0, most)) + draw.choices(words, k=draw.randint(0, most)))
+
+    def vector():
+        return [draw.choice([-1.0, -0.5, 0.0, 0.5, 1.0]) for _ in range(4)]
+
+    jobs = [(i, text(30), draw.choice([None, vector()]) if i % 9 == 0 else vector(), vector()) for i in range(150)]
+    jobs += [(i, "w1 w2", [1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0]) for i in range(150, 200)] + [(200, None, vector(), None)]
+    people = [(i, text(40), vector()) for i in range(25)] + [(25, None, [1.0, 0.0, 0.0, 0.0]), (26, "w1", None), (27, "w1 w2", [1.0, 0.0, 0.0, 0.0])]
+    roles = spark.createDataFrame([(0, "a", [1.0, 0.0, 0.0, 0.0]), (1, "b", [0.0, 1.0, 0.0, 0.0])], "role_idx int, role string, embedding array<float>")
+    jobs_df = spark.createDataFrame(jobs, sides[0].schema)
+    cvs_df = spark.createDataFrame(people, sides[1].schema)
+    held = jobs_df.filter("job_id % 7 <> 3").selectExpr("job_id", "explode(array(0, 1)) AS role_idx")
+    pairs = spark.createDataFrame([(j[0], c[0]) for j in jobs for c in people], "job_id int, cv_id int")
+    report = matching.match_report(pairs, jobs_df, cvs_df, held, roles)
+    scored = report.filter("overall_similarity_percentage IS NOT NULL")
+    for k in (1, 10, 500):
+        wanted = matching.best_jobs_per_cv(scored, k).select("cv_id", "rank", "job_id", "overall_similarity_percentage")
+        got = ranking.top_jobs_per_cv(jobs_df, cvs_df, held, roles, k)
+        assert sorted(map(tuple, got.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+    assert ranking.top_jobs_per_cv(jobs_df.limit(0), cvs_df, held, roles).count() == 0
+    assert ranking.top_jobs_per_cv(jobs_df, cvs_df.limit(0), held, roles).count() == 0
+    # Blocks and shards of other sizes change nothing.
+    postings, cvs = ranking.prepared(jobs_df, cvs_df, held, roles)
+    cvs = cvs.withColumn("least", F.lit(None).cast("double"))
+    small = ranking.bounded_pairs(postings, cvs, block=4, shard=16).drop("least")
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, ranking.bounded_pairs(postings, cvs).drop("least").collect()))
+
+
+def test_few_pairs_have_their_words_compared(spark):
+    sf = "/root/testdata/sf0.01"
+    postings, people = ranking.prepared(fx.jobs(spark, sf), fx.cvs(spark, sf), fx.offers(spark, sf), fx.roles(spark, sf))
+    read = ranking.candidate_pairs(postings, people, 10).count()
+    assert 400 <= read < 0.1 * postings.count() * people.count()
