@@ -15,6 +15,7 @@ from hirelode.operators import contacts, dedup, joins, matching, order, pages, r
 from hirelode.plans import contacts as contacts_plan
 from hirelode.plans import triage as triage_plan
 from hirelode.session import materialize, scratch_path
+from hirelode.sources import keyed
 from hirelode.sources import keys as key_files
 from hirelode.sources import rows as row_files
 from hirelode.sources import runs as run_files
@@ -806,6 +807,23 @@ def upsert_counts(spark, sf):
     return dedup.upsert_counts(*_upsert(spark, sf))
 
 
+@query
+def upserted_run(spark, sf):
+    """The history as a first run and the batch as a second, which is run twice."""
+    rows = fx.postings(spark, sf).withColumn("link", urls.clean_url("apply_link"))
+    path = scratch_path(spark, "upserted")
+
+    def run(batch: DataFrame, number: int) -> dict[str, int]:
+        return keyed.upsert(batch, path, number, CELLS, "link", dedup.DISCOVERY_ORDER, buckets=8)
+
+    run(rows.filter("is_history"), 0)
+    first, again = (run(rows.filter("NOT is_history"), 1) for _ in range(2))
+    if first != again:
+        raise ValueError("a run that is run again must give the same counts")
+    counts = [F.lit(again[name]).cast("bigint").alias(name) for name in ("inserted", "skipped")]
+    return spark.read.parquet(path).filter("run_id = 1").select("posting_id", "link", "title", *counts)
+
+
 @query
 def header_dropped(spark, sf):
     heading = F.array(F.lit(" Keyword"), F.lit("Job Title "), F.lit("more"))
@@ -1038,3 +1056,20 @@ def stream_dedup(spark, sf):
 
     _runs(spark, rows, "slice", range(4), start)
     return spark.read.parquet(target).select("profile_url", minutes("window_start").alias("window_start"))
+
+
+@query
+def stream_first_seen(spark, sf):
+    """Visits stamped with the start of their eight days: a profile is forgotten three slices on."""
+    part = F.floor((F.day("visited_at") - 1) / 8).cast("int")
+    begun = F.timestamp_add("DAY", part * 8, F.lit("2024-01-01").cast("timestamp"))
+    rows = fx.visits(spark, sf).select("profile_url", begun.alias("seen_at"), part.alias("slice"))
+    target, state = scratch_path(spark, "seen"), scratch_path(spark, "checkpoint")
+
+    def start(stream: DataFrame):
+        first = stream_ops.stream_first_seen(stream, ["profile_url"], "seen_at", hours=8 * 24)
+        writer = first.writeStream.format("parquet").option("path", target)
+        return writer.option("checkpointLocation", state).trigger(availableNow=True).start()
+
+    _runs(spark, rows, "slice", range(4), start)
+    return spark.read.parquet(target).select("profile_url", "slice")

@@ -41,13 +41,18 @@ def known_keys(history: DataFrame, key: str) -> DataFrame:
     return history.select(utrim(key).alias(key)).filter(F.col(key) != "").distinct()
 
 
-def unseen(df: DataFrame, seen: DataFrame, key: str, unique: bool = False) -> DataFrame:
+def unseen(
+    df: DataFrame, seen: DataFrame, key: str, unique: bool = False, keyed: bool = False
+) -> DataFrame:
     """Rows with a non-blank key that is not in `seen`.
 
     `unique=True` says the keys of `df` are not blank and occur once, as after `first_per_key`.
+    `keyed=True` says that those of `seen` are trimmed and laid out by key (`sources.keyed`): they are
+    joined where they lie.
     """
     rows = df if unique else df.filter(non_blank(key).isNotNull())
-    return rows.join(known_keys(seen, key), key, "left_anti")
+    known = seen.select(key) if keyed else known_keys(seen, key)
+    return rows.join(known, key, "left_anti")
 
 
 def new_listings(listings: DataFrame, processed: DataFrame, sponsored: Column) -> DataFrame:

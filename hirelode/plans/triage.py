@@ -65,9 +65,13 @@ def classify(postings: DataFrame, keep_description: bool = False) -> DataFrame:
     return result if keep_description else result.drop("description")
 
 
-def triage(postings: DataFrame, history: DataFrame, order=DISCOVERY_ORDER) -> DataFrame:
+def triage(
+    postings: DataFrame, history: DataFrame, order=DISCOVERY_ORDER, keyed: bool = False
+) -> DataFrame:
     """New classified postings: first of each link, unless the link is in `history`.
 
+    `keyed` says that the history is laid out by link, so that it is not shuffled, see `unseen`.
+
     `order` names the columns of a total order, in which null comes first. Rows that are equal in
     all of them are one posting, of which one row stays, whichever order they come in.
     """
@@ -75,7 +79,7 @@ def triage(postings: DataFrame, history: DataFrame, order=DISCOVERY_ORDER) -> Da
     first = first_per_key(cleaned.select("apply_link", *order), ["apply_link"], order)
     # A struct is never null, so positions with a null are compared like the others.
     at = F.struct("apply_link", *order).alias("_at")
-    fresh = unseen(first, history, "apply_link", unique=True).select(at)
+    fresh = unseen(first, history, "apply_link", unique=True, keyed=keyed).select(at)
     # Positions are distinct, so the join adds no rows. A semi join would be moved ahead of the filter.
     found = may_be_in(cleaned.withColumn("_at", at), fresh, "_at").join(fresh, "_at")
     return classify(first_per_key(found, ["_at"], [F.xxhash64(*cleaned.columns)]).drop("_at"))

@@ -39,3 +39,19 @@ def stream_dedup(
     windowed = late.withColumn("_window", F.window(time, f"{hours} hours")).withMetadata(time, {})
     first = windowed.dropDuplicates([*key, "_window"])
     return first.withColumn("window_start", F.col("_window.start")).drop("_window")
+
+
+def stream_first_seen(
+    stream: DataFrame, key: Sequence[str], time: str, hours: int = rules.RETENTION_HOURS
+) -> DataFrame:
+    """First row to arrive per key, until the key has expired: no border cuts what lies close together.
+
+    A key is remembered from the row that came out until the watermark, which is `hours` behind the
+    latest time seen in earlier batches, has passed that row's time by `hours`. So rows of a key less than
+    `hours` apart never both come out, however the stream is cut, as long as none is `hours` late; a row that
+    late goes. A key that comes again comes out again once it is forgotten, which is two to three times
+    `hours` after and, unlike the windows of `stream_dedup`, depends on the batches: within one batch a key has
+    one row at most. Rows without a time go.
+    """
+    stamped = stream.withColumn(time, F.col(time).cast("timestamp")).filter(F.col(time).isNotNull())
+    return stamped.withWatermark(time, f"{hours} hours").dropDuplicatesWithinWatermark(list(key))

@@ -2,42 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from hirelode.plans.triage import triage
+from hirelode.session import materialize
+from hirelode.sources.keyed import BUCKETS, keyed_table, other_runs, write_keyed
 
 
-def known_links(spark: SparkSession, target: str, before: int) -> DataFrame:
-    """Links of the batches before this one: one column of the older partitions."""
-    schema = "apply_link string, batch_id bigint"
-    try:
-        written = spark.read.schema(schema).parquet(target)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        written = spark.createDataFrame([], schema)
-    return written.filter(F.col("batch_id") < before).select("apply_link")
+def batch_plan(batch: DataFrame, batch_id: int, target: str, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """The target, laid out by link, and the new postings of a batch against the older ones in it.
+
+    The target's links are read bucket by bucket and joined in place; only the batch is shuffled.
+    """
+    layout = triage(batch, batch.select("apply_link").limit(0)).schema
+    known = keyed_table(batch.sparkSession, target, layout, "apply_link", "batch_id", buckets)
+    return known, triage(batch, other_runs(known, batch_id, "batch_id"), keyed=True)
 
 
-def triage_batch(batch: DataFrame, batch_id: int, target: str) -> None:
+def triage_batch(batch: DataFrame, batch_id: int, target: str, buckets: int = BUCKETS) -> None:
     """Write the new postings of one batch to its own partition.
 
     The batch reads older partitions only and replaces its own, so a batch that is run again
     after a failure gives the same table.
     """
-    spark = batch.sparkSession
-    fresh = triage(batch, known_links(spark, target, batch_id))
-    writer = fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(target)
+    known, fresh = batch_plan(batch, batch_id, target, buckets)
+    write_keyed(known, materialize(fresh), target, batch_id, "batch_id")
 
 
-def stream_triage(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Triage all data that is there, batch by batch, then stop."""
+def stream_triage(
+    stream: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Triage all data that is there, batch by batch, then stop.
+
+    `buckets` is how the target is divided by link if it is not there yet; give a large one as many as a
+    shuffle has partitions.
+    """
     return (
-        stream.writeStream.foreachBatch(lambda batch, n: triage_batch(batch, n, target))
+        stream.writeStream.foreachBatch(lambda batch, n: triage_batch(batch, n, target, buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -1,10 +1,12 @@
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from hirelode.catalog import fixtures as fx
 from hirelode.plans.triage import triage
-from hirelode.streaming.dedup import stream_dedup, within_retention
-from hirelode.streaming.triage import stream_triage, triage_batch
+from hirelode.streaming.dedup import stream_dedup, stream_first_seen, within_retention
+from hirelode.streaming.triage import batch_plan, stream_triage, triage_batch
 from tests.conftest import SMALL
 
 
@@ -69,3 +71,78 @@ def test_stream_dedup_does_not_depend_on_the_slices(spark, tmp_path, slices):
     got = sorted((r.k, r.window_start) for r in spark.read.parquet(target).collect())
     wanted = rows.select("k", F.date_trunc("day", "at").alias("day")).distinct().collect()
     assert got == sorted((r.k, r.day) for r in wanted)
+
+
+def run_slices(spark, folder, slices, start):
+    """Each slice of (k, at) is a run of the stream; returns what all of them wrote."""
+    source, target, state = (str(folder / name) for name in ("in", "out", "state"))
+    schema = "k string, at string"
+    for rows in slices:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        run = start(stream).writeStream.format("parquet").option("path", target)
+        run.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return sorted((r.k, str(r.at)[:16]) for r in spark.read.parquet(target).collect())
+
+
+def test_a_key_on_both_sides_of_midnight_comes_out_once(spark, tmp_path):
+    slices = [[("a", "2026-01-01 23:59:00")], [("a", "2026-01-02 00:01:00"), ("b", "2026-01-02 00:01:00")]]
+    (tmp_path / "x").mkdir(), (tmp_path / "y").mkdir()
+    first = run_slices(spark, tmp_path / "x", slices, lambda s: stream_first_seen(s, ["k"], "at"))
+    assert first == [("a", "2026-01-01 23:59"), ("b", "2026-01-02 00:01")]
+    windows = run_slices(spark, tmp_path / "y", slices, lambda s: stream_dedup(s, ["k"], "at"))
+    assert [k for k, _ in windows] == ["a", "a", "b"]
+
+
+def expiring(slices, hours=24):
+    """The rule by hand: a key is known until the watermark of earlier slices has passed its row by `hours`."""
+    known, latest, out = {}, None, []
+    for rows in slices:
+        times = [(k, datetime.fromisoformat(t)) for k, t in rows if t]
+        mark = latest - timedelta(hours=hours) if latest else datetime.min
+        known = {k: t for k, t in known.items() if t + timedelta(hours=hours) > mark}
+        for k, t in times:
+            if t > mark and k not in known:
+                known[k] = t
+                out.append((k, str(t)[:16]))
+        latest = max([latest or datetime.min, *(t for _, t in times)])
+    return sorted(out)
+
+
+def test_expired_keys_come_out_again_as_stated(spark, tmp_path):
+    slices = [
+        [("a", "2026-01-01 10:00:00"), ("b", None)],
+        [("a", "2026-01-02 09:00:00"), ("c", "2026-01-02 11:00:00")],
+        [("a", "2026-01-03 11:00:00"), ("c", "2026-01-03 20:00:00")],
+        [("a", "2026-01-04 12:00:00"), ("late", "2026-01-01 00:00:00"), ("b", "2026-01-03 12:00:00")],
+        [("a", "2026-01-04 13:00:00"), ("c", "2026-01-06 00:00:00")],
+        [("b", "2026-01-06 01:00:00"), ("c", "2026-01-06 02:00:00")],
+    ]
+    got = run_slices(spark, tmp_path, slices, lambda s: stream_first_seen(s, ["k"], "at"))
+    assert got == expiring(slices)
+    assert [k for k, _ in got].count("a") == 2
+
+
+def test_history_of_a_batch_is_not_shuffled(spark, tmp_path, plan):
+    rows = fx.new_postings(spark, SMALL)
+    target = str(tmp_path / "target")
+    triage_batch(rows.filter("posting_id % 2 = 0"), 0, target, buckets=16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # As many partitions as a shuffle would make, fewer and more than the buckets are.
+        for partitions in ("4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            text = plan(batch_plan(rows, 1, target)[1])
+            for part in text.split("Bucketed: true")[:-1]:
+                above = part.rsplit("LeftAnti", 1)[1].splitlines()
+                side = next(i for i, line in reversed(list(enumerate(above))) if "+- *" in line and "Sort [apply_link" in line)
+                assert not any("Exchange" in line for line in above[side:])
+            assert "Bucketed: true" in text
+    finally:
+        for name in ("autoBroadcastJoinThreshold", "adaptive.enabled"):
+            spark.conf.unset(f"spark.sql.{name}")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    triage_batch(rows, 1, target)
+    links = [r.apply_link for r in spark.read.parquet(target).collect()]
+    assert len(links) == len(set(links)) == triage(rows, rows.select("apply_link").limit(0)).count()
