@@ -512,8 +512,7 @@ def tracked_emails(spark, sf):
 @query
 def repeated_redirects(spark, sf):
     rows = fx.search_listings(spark, sf)
-    hour = F.date_trunc("hour", "ts")
-    flagged = pages.repeated_redirect(rows, ["user_id"], ["ts", "event_id"], hour)
+    flagged = pages.repeated_redirect(rows, ["user_id"], ["ts", "event_id"])
     return flagged.select("event_id", "user_id", "raw_url", "repeated")
 
 
@@ -917,8 +916,7 @@ def top_postings_per_zone(spark, sf):
 @query
 def previous_redirect(spark, sf):
     rows = fx.search_listings(spark, sf)
-    hour = F.date_trunc("hour", "ts")
-    return order.previous_value(rows, ["user_id"], ["ts", "event_id"], "raw_url", hour).select(
+    return order.previous_value(rows, ["user_id"], ["ts", "event_id"], "raw_url").select(
         "event_id", "previous"
     )
 

@@ -66,34 +66,47 @@ def previous_value(
     group: Sequence[str],
     order: Sequence[str],
     value: str,
-    chunk: Column,
     alias: str = "previous",
 ) -> DataFrame:
-    """Last non-null `value` before each row of its group.
+    """Last non-null `value` before each row of its group, in a total order of the group.
 
-    A group may hold a third of all rows, so groups are cut into chunks, `chunk` being any
-    expression that never decreases along `order`: a task sorts one chunk of a group. A value that
-    reaches over a chunk border comes from a summary of one row per group and chunk, made by a
-    combining aggregate.
+    A group may hold a third of all rows, so rows are dealt by ranges of group and order, and a task
+    sees the part of a group that lies in one range. What reaches over a border comes from a summary of
+    one row per range: its first group, its last, and the last value in that. The dealt rows are
+    checkpointed, since the sampled bounds must not change between the two uses.
     """
+    # A struct is never null, so rows with a null in the group columns are a group like the others.
+    dealt = df.withColumn("_group", F.struct(*group)).repartitionByRange("_group", *order)
+    placed = materialize(dealt.withColumn("_part", F.spark_partition_id()))
     before = Window.unboundedPreceding, -1
-    # A struct is never null, so rows with a null in the group columns join like the others.
-    pieces = df.withColumns({"_group": F.struct(*group), "_chunk": F.struct(chunk.alias("at"))})
-    inside = Window.partitionBy("_group", "_chunk").orderBy(*order).rowsBetween(*before)
-    position = F.when(F.col(value).isNotNull(), F.struct(*order))
-    summary = pieces.groupBy("_group", "_chunk").agg(F.max_by(value, position).alias("_final"))
-    earlier = Window.partitionBy("_group").orderBy("_chunk").rowsBetween(*before)
-    carried = summary.select(
-        "_group", "_chunk", F.last("_final", ignorenulls=True).over(earlier).alias("_carried")
-    )
+    inside = Window.partitionBy("_part", "_group").orderBy(*order).rowsBetween(*before)
     return (
-        pieces.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
-        .join(carried, ["_group", "_chunk"])
+        placed.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
+        .join(F.broadcast(_carried(placed, order, value)), ["_part", "_group"], "left")
         .withColumn(alias, F.coalesce("_inside", "_carried"))
         .select(*df.columns, alias)
     )
 
 
+def _carried(placed: DataFrame, order: Sequence[str], value: str) -> DataFrame:
+    """(_part, _group, _carried): what the first group of each range takes over from the ranges before it.
+
+    As many rows as there are ranges; a group's ranges lie side by side and are scanned in order.
+    """
+    held = F.when(F.col(value).isNotNull(), F.struct("_group", *order))
+    ends = placed.groupBy("_part").agg(
+        F.min("_group").alias("first"),
+        F.max("_group").alias("last"),
+        F.max_by(F.struct("_group", F.col(value).alias("value")), held).alias("latest"),
+    )
+    of_last = F.when(F.col("latest._group") == F.col("last"), F.col("latest.value"))
+    asked = ends.select("_part", F.lit(0).alias("kind"), F.col("first").alias("_group"), F.lit(None).alias("value"))
+    given = ends.select("_part", F.lit(1).alias("kind"), F.col("last").alias("_group"), of_last.alias("value"))
+    earlier = Window.partitionBy("_group").orderBy("_part", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    scanned = asked.unionByName(given).withColumn("_carried", F.last("value", ignorenulls=True).over(earlier))
+    return scanned.filter("kind = 0").select("_part", "_group", "_carried")
+
+
 def session_cap(profiles: DataFrame, n: int, key: str = "profile_url") -> DataFrame:
     """First `n` profiles of a session in URL order: a top-k, not a full sort."""
     return profiles.orderBy(key).limit(n)

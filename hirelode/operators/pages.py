@@ -167,11 +167,11 @@ def rank_relevant_pages(
 
 
 def repeated_redirect(
-    listings: DataFrame, group: Sequence[str], order: Sequence[str], chunk: Column
+    listings: DataFrame, group: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
     """Flag a redirect link equal to the last link seen in the same search."""
     shown = listings.withColumn("_seen", F.nullif(F.col("raw_url"), F.lit("")))
-    previous = previous_value(shown, group, order, "_seen", chunk, "previous_url")
+    previous = previous_value(shown, group, order, "_seen", "previous_url")
     repeated = is_redirect("raw_url") & (F.col("raw_url") == F.col("previous_url"))
     return previous.withColumn("repeated", F.coalesce(repeated, F.lit(False))).drop("_seen")
 
