@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hirelode import rules
 from hirelode.catalog import fixtures as fx
 from hirelode.functions import classify, emails, text, urls
-from hirelode.operators import contacts, dedup, joins, matching, order, pages, ranking, report
+from hirelode.operators import contacts, dedup, joins, matching, order, pages, ranking, report, strict_pages
 from hirelode.plans import contacts as contacts_plan
 from hirelode.plans import triage as triage_plan
 from hirelode.session import materialize, scratch_path
@@ -251,6 +251,11 @@ def page_links(spark, sf):
     return pages.page_links(fx.table(spark, sf, "pages")).drop("url")
 
 
+@query
+def page_links_strict(spark, sf):
+    return strict_pages.page_links_strict(fx.table(spark, sf, "pages")).drop("url")
+
+
 @query
 def website_fallback(spark, sf):
     rows = fx.postings(spark, sf)

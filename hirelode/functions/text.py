@@ -131,30 +131,53 @@ def form_encode(value: Column | str) -> Column:
     return F.replace(encoded, F.lit("*"), F.lit("%2A"))
 
 
-# The characters of HTML: all named references, and the numbers that stand for another code page.
+# The characters of HTML: all named references, those that need no semicolon, the numbers that stand for
+# another code page, and those that stand for nothing.
 _NAMED = {f"&{name}": chars for name, chars in html.entities.html5.items() if name.endswith(";")}
+_BARE = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 _CODE_PAGE = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
-_REFERENCE = "&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+_REFERENCE = "&(?:[A-Za-z][A-Za-z0-9]*+|#[0-9]++|#[xX][0-9A-Fa-f]++);?"
 _PIECE = f"({_REFERENCE}|[^&]++|&)"
 
 
 def unescape_html(value: Column | str) -> Column:
-    """Replace named and numeric character references, each once, from left to right."""
+    """Replace named and numeric character references, each once, from left to right.
+
+    A reference may lack its semicolon if it is a number or one of the names that never needed one, of
+    which the longest that the text begins with counts.
+    """
     named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
     code_page = F.from_json(F.lit(json.dumps(_CODE_PAGE)), "map<string,string>")
 
-    def decoded(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^&#(?:[xX])?([0-9A-Fa-f]+);$", 1)
-        base16 = F.when(piece.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
+    def numeric(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"^&#[xX]?0*([0-9A-Fa-f]*);?$", 1)
+        sixteen = piece.rlike("^&#[xX]")
+        # Longer ones are beyond the last character, and too long to convert.
+        short = F.length(digits) <= F.when(sixteen, 6).otherwise(7)
+        whole = F.when(short, F.concat(F.lit("0"), digits)).otherwise("1114112")
+        base16 = F.when(sixteen & short, whole).otherwise(F.conv(whole, 10, 16))
         point = F.conv(base16, 16, 10)
         number = point.cast("bigint")
-        numeric = (
+        nothing = (
+            number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127)
+            | number.between(0xFDD0, 0xFDEF) | (number % 65536 >= 65534)
+        )
+        return (
             F.when((number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), "\ufffd")
+            .when(nothing, "")
             .when(number.between(0x80, 0x9F), F.try_element_at(code_page, point))
             .otherwise(F.decode(F.unhex(F.lpad(base16, 8, "0")), "UTF-32"))
         )
-        meant = F.coalesce(F.try_element_at(named, piece), F.when(digits != "", numeric), piece)
-        return F.when(piece.startswith("&"), meant).otherwise(piece)
+
+    def by_name(piece: Column) -> Column:
+        bare = F.regexp_extract(piece, f"^&(?:{'|'.join(_BARE)})", 0)
+        chars = F.try_element_at(named, F.concat(bare, F.lit(";")))
+        rest = F.substring(piece, F.length(bare) + 1, F.length(piece))
+        return F.coalesce(F.try_element_at(named, piece), F.when(bare != "", F.concat(chars, rest)), piece)
+
+    def decoded(piece: Column) -> Column:
+        meant = F.when(piece.startswith("&#") & (F.length(piece) > 2), numeric(piece)).otherwise(by_name(piece))
+        return F.when(piece.startswith("&") & (piece != "&"), meant).otherwise(piece)
 
     def replaced(text: Column) -> Column:
         pieces = F.regexp_extract_all(text, F.lit(f"(?s){_PIECE}"))

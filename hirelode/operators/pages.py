@@ -31,6 +31,8 @@ from hirelode.operators.order import previous_value
 COMMENTS = r"(?s)<!--.*?(?:-->|\z)"
 SCRIPTS = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)"
 UNSHOWN = r"(?is)<(noscript|template)\b.*?(?:</\1\s*>|\z)"
+# What stands in these is text, whatever it looks like.
+TEXT_ELEMENTS = r"(?is)<(textarea|title)\b.*?(?:</\1\s*>|\z)"
 HEAD = r"(?is)<head\b.*?(?:</head\s*>|\z)"
 ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 # An anchor ends at its closing tag, at the next anchor or with the page.
@@ -78,7 +80,7 @@ def anchors(html: Column | str) -> Column:
 
 
 def anchors_of(shown: Column | str) -> Column:
-    tags = F.regexp_extract_all(col(shown), F.lit(ANCHOR))
+    tags = F.regexp_extract_all(F.regexp_replace(col(shown), TEXT_ELEMENTS, ""), F.lit(ANCHOR))
     linked = F.filter(tags, lambda t: t.rlike(HREF))
 
     def link(tag: Column) -> Column:

@@ -1,6 +1,6 @@
 from html.parser import HTMLParser
 
-from hirelode.operators import pages
+from hirelode.operators import pages, strict_pages
 from hirelode.plans.contacts import contacts_of, with_website
 from tests.conftest import SMALL
 
@@ -118,3 +118,36 @@ def test_contacts_of_new_websites(spark, plan):
         ("a.de", "hallo@a.de"), ("a.de", "info@a.de"), ("a.de", "jobs-team@a.de"),
     ]
     assert "EvalPython" not in plan(found) and "CartesianProduct" not in plan(found)
+
+
+MALFORMED = [
+    '<a href="/a">A<a href=/b title="x > y">B</b><a class=\'q" href="/c\'>C', '<a href="/x?a=1&amp;b=2&uuml">&auml &lt;<b>z</a> out', "<a href='/open", '<a href="/q" <b>text</b></a>',
+    '<!-- <a href="/no">no</a> <a href="/still">', "<script>if (a < b) document.write('<a href=\"/no\">')</script><a href=/yes>y</a>", "<style><a href=/no></style><A HREF = '/up' >Up</A>",
+    '<a\nhref\n=\n"/lines"\n>\n a \n</a\n>', "<a href>none</a><a name=x>no</a><a/href=/slash>s</a>", "<p><a href=/1>1<p>2</p></p>3</a>4", "<![CDATA[<a href=/in>x</a>]]><a href=/after>y</a>",
+    "<a href=/a><script>hidden()</script>shown</a>", "", "no tags & <", "<a href=/last", "<a href=/e>é&#8364;</a></a></a>", "<<a href=/two>t</a>", "<a href=\"/dup\" href=\"/second\">d</a>", None,
+]
+
+
+def test_strict_links_of_malformed_pages_agree_with_an_html_parser(spark):
+    rows = [(i, "u", html, "kept") for i, html in enumerate(MALFORMED)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, text string")
+    wanted = set()
+    for i, _, html, _ in rows:
+        parser = Anchors()
+        parser.feed((html or "").replace("<![", "<!x["))
+        parser.close()
+        wanted |= {(i, n, h or "", t) for n, (h, t) in enumerate(parser.found)}
+    got = {(r.page_id, r.pos, r.href, r.text) for r in strict_pages.page_links_strict(df).collect()}
+    # The class above lets an anchor without an address go on the one before, takes a script for its text
+    # and, of two addresses of a tag, the second.
+    other = {(0, 1, "/b", "B"), (11, 0, "/a", "shown"), (17, 0, "/dup", "d")}
+    assert other <= got
+    assert got - other == {w for w in wanted if w[:2] not in {o[:2] for o in other}}
+    assert strict_pages.page_links_strict(df.limit(0)).collect() == []
+
+
+def test_what_looks_like_an_anchor_in_a_text_element_is_none(spark):
+    html = '<title><a href="/t">t</a></title><a href="/a">A</a><TEXTAREA rows=2>see <a href="/no">x</a></textarea><a href="/b">B</a><textarea><a href="/open">'
+    df = spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")
+    for links in (pages.page_links(df), strict_pages.page_links_strict(df)):
+        assert [(r.pos, r.href, r.text) for r in links.orderBy("pos").collect()] == [(0, "/a", "A"), (1, "/b", "B")]

@@ -66,7 +66,9 @@ def test_references_are_decoded_once_and_by_their_html5_names(values):
     shapes = (
         "&#38;lt; &lt;", "&amp;lt;", "&#x26;amp;", "team&commat;firma.de", "&NotEqualTilde;", "&nosuch;", "a & b",
         "&#128;&#x99;", "&#0;", "&#xD800;", "&auml;&Auml;&#228;", "&&amp;&", "", "plain", "&lt;&gt;&quot;&apos;",
-        "line\n&amp;\nline", "&fjlig;", "&#1114112;",
+        "line\n&amp;\nline", "&fjlig;", "&#1114112;", "f&uuml r", "&uumlber", "a&ltb", "x&ampy", "&notit; &notin;", "&AMP",
+        "&#00000000065;", "&#65 &#x41g", "&#x000000000000000000000000041;", "&#99999999999999999999999;", "&#xFFFFFFFFFFFFFFFF",
+        "&#1;&#11;&#127;&#xFDD0;&#xFFFF;&#x1FFFE;&#9;", "&#;", "&#x;", "&#xg", "&copycat", "&frac12x", "&sup;&sup2", "&unknown&lt",
     )
     assert values(text.unescape_html, *shapes) == [html.unescape(v) for v in shapes]
     assert values(text.unescape_html, None) == [None]
