@@ -859,6 +859,25 @@ def run_summary(spark, sf):
     return report.run_summary(triaged(spark, sf))
 
 
+def _summaries(spark: SparkSession, graded: DataFrame) -> DataFrame:
+    """Partial summaries of runs of graded postings, a run per keyword, the second of which is run again late."""
+    path, graded = scratch_path(spark, "summaries"), materialize(graded)
+    for number in (0, 1, 2, 3, 4, 1):
+        run = graded.filter(F.col("keyword_idx") == number)
+        run_files.write_summary(report.partial_summary(run), path, number)
+    return spark.read.parquet(path)
+
+
+@query
+def merged_run_summary(spark, sf):
+    return report.merged_run_summary(_summaries(spark, triaged(spark, sf)))
+
+
+@query
+def merged_zone_breakdown(spark, sf):
+    return report.merged_zone_breakdown(_summaries(spark, triage_plan.classify(fx.postings(spark, sf))))
+
+
 @query
 def zone_breakdown(spark, sf):
     return report.zone_breakdown(triage_plan.classify(fx.postings(spark, sf)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelode import rules
@@ -23,6 +23,10 @@ def run_summary(triaged: DataFrame, target: int = rules.DAILY_TARGET) -> DataFra
         F.count_if(F.col("relevance") == "relevant").alias("relevant"),
         F.count_if(F.col("relevance") == "non_relevant").alias("non_relevant"),
     )
+    return _judged(counts, target)
+
+
+def _judged(counts: DataFrame, target: int) -> DataFrame:
     found = F.col("high_relevant") + F.col("relevant")
     return counts.withColumn("target_reached", found >= target).withColumn(
         "missing", F.greatest(F.lit(target) - found, F.lit(0).cast("bigint"))
@@ -38,12 +42,59 @@ def zone_breakdown(triaged: DataFrame) -> DataFrame:
     counted = triaged.groupBy("location_zone").agg(
         F.count_if(F.col("relevance").isin(*RELEVANT)).alias("postings")
     )
+    return _ranked(counted)
+
+
+def _ranked(counted: DataFrame) -> DataFrame:
     shown = F.col("location_zone").isin(*rules.ZONE_RANKING) & (F.col("postings") > 0)
     return counted.filter(shown).withColumn("zone_order", zone_rank("location_zone")).orderBy(
         "zone_order"
     )
 
 
+def partial_summary(triaged: DataFrame) -> DataFrame:
+    """(location_zone, relevance, postings): what a run adds to every summary; a few rows, to be stored."""
+    return triaged.groupBy("location_zone", "relevance").agg(F.count(F.lit(1)).alias("postings"))
+
+
+def merged_run_summary(partials: DataFrame, target: int = rules.DAILY_TARGET) -> DataFrame:
+    """`run_summary` of all postings that the partial summaries count."""
+
+    def of(condition: Column | None = None) -> Column:
+        counted = F.col("postings") if condition is None else F.when(condition, F.col("postings"))
+        return F.coalesce(F.sum(counted), F.lit(0))
+
+    label = F.col("relevance")
+    return _judged(partials.agg(
+        of().alias("total"),
+        of(label == "high_relevant").alias("high_relevant"),
+        of(label == "relevant").alias("relevant"),
+        of(label == "non_relevant").alias("non_relevant"),
+    ), target)
+
+
+def merged_zone_breakdown(partials: DataFrame) -> DataFrame:
+    """`zone_breakdown` of all postings that the partial summaries count."""
+    counted = partials.groupBy("location_zone").agg(
+        F.coalesce(F.sum(F.when(F.col("relevance").isin(*RELEVANT), F.col("postings"))), F.lit(0)).alias("postings")
+    )
+    return _ranked(counted)
+
+
+def merged_visit_totals(partials: DataFrame, status: str = "status") -> DataFrame:
+    """`visit_totals` of all visits counted by `visits_per_status`."""
+
+    def of(value: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col(status) == value, F.col("visits"))), F.lit(0))
+
+    return partials.agg(
+        of("connect").alias("connects"),
+        of("follow").alias("follows"),
+        of("visited_only").alias("visited_only"),
+        F.coalesce(F.sum("visits"), F.lit(0)).alias("total_visits"),
+    )
+
+
 def relevance_split(df: DataFrame, relevant: str = "relevant") -> tuple[DataFrame, DataFrame]:
     """Rows labelled relevant, and the others."""
     return df.filter(F.col(relevant)), df.filter(~F.col(relevant))

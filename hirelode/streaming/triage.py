@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from hirelode.operators.report import partial_summary
 from hirelode.plans.triage import triage
 from hirelode.session import materialize
 from hirelode.sources.keyed import BUCKETS, keyed_table, other_runs, write_keyed
+from hirelode.sources.runs import write_summary
 
 
 def batch_plan(batch: DataFrame, batch_id: int, target: str, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
@@ -20,26 +22,34 @@ def batch_plan(batch: DataFrame, batch_id: int, target: str, buckets: int = BUCK
     return known, triage(batch, other_runs(known, batch_id, "batch_id"), keyed=True)
 
 
-def triage_batch(batch: DataFrame, batch_id: int, target: str, buckets: int = BUCKETS) -> None:
-    """Write the new postings of one batch to its own partition.
+def triage_batch(
+    batch: DataFrame, batch_id: int, target: str, buckets: int = BUCKETS, summaries: str | None = None
+) -> None:
+    """Write the new postings of one batch to its own partition, and what they add to all summaries.
 
     The batch reads older partitions only and replaces its own, so a batch that is run again
-    after a failure gives the same table.
+    after a failure gives the same tables.
     """
     known, fresh = batch_plan(batch, batch_id, target, buckets)
-    write_keyed(known, materialize(fresh), target, batch_id, "batch_id")
+    ready = materialize(fresh)
+    write_keyed(known, ready, target, batch_id, "batch_id")
+    if summaries:
+        write_summary(partial_summary(ready), summaries, batch_id)
 
 
 def stream_triage(
-    stream: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS
+    stream: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS, summaries: str | None = None
 ) -> StreamingQuery:
     """Triage all data that is there, batch by batch, then stop.
 
+    `summaries` is a folder for the partial summary of each batch, of which `report.merged_run_summary`
+    and `report.merged_zone_breakdown` make those of all batches without reading a posting.
+
     `buckets` is how the target is divided by link if it is not there yet; give a large one as many as a
     shuffle has partitions.
     """
     return (
-        stream.writeStream.foreachBatch(lambda batch, n: triage_batch(batch, n, target, buckets))
+        stream.writeStream.foreachBatch(lambda batch, n: triage_batch(batch, n, target, buckets, summaries))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

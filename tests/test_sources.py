@@ -107,6 +107,22 @@ def test_runs(spark, tmp_path, plan):
     assert runs.latest_run(read, "2026-05-01").count() == 7
 
 
+def test_retention_of_run_folders(spark, tmp_path):
+    path, now = str(tmp_path / "runs"), datetime(2026, 4, 3, 9, 0)
+    for day, hour, ids in ((1, 8, [1]), (2, 8, [2, 3]), (2, 20, [4]), (3, 8, [5, 6])):
+        stamps = {2: "2026-04-02 08:00", 3: "2026-04-02 09:00", 4: "2026-04-02 20:00", 5: "2026-04-03 08:00", 6: None}
+        rows = [(i, stamps.get(i, "2026-04-01 08:00"), "no") for i in ids]
+        df = spark.createDataFrame(rows, "id int, at string, relevance string").withColumn("at", F.col("at").cast("timestamp"))
+        runs.write_run(df, path, datetime(2026, 4, day, hour, 0))
+    kept = runs.retained(runs.read_runs(spark, path), "at", now)
+    assert sorted(r.id for r in kept.collect()) == [3, 4, 5]
+    scan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "2026-04-02" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert runs.drop_old_runs(spark, path, now) == ["2026-04-01"]
+    assert sorted(r.id for r in runs.read_runs(spark, path).collect()) == [2, 3, 4, 5, 6]
+    assert runs.drop_old_runs(spark, path, now) == [] and runs.drop_old_runs(spark, str(tmp_path / "none"), now) == []
+
+
 def test_scratch_lies_in_the_shared_folder(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark) == configured

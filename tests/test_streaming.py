@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hirelode.catalog import fixtures as fx
+from hirelode.operators import report
 from hirelode.plans.triage import triage
 from hirelode.streaming.dedup import stream_dedup, stream_first_seen, within_retention
 from hirelode.streaming.triage import batch_plan, stream_triage, triage_batch
@@ -146,3 +147,20 @@ def test_history_of_a_batch_is_not_shuffled(spark, tmp_path, plan):
     triage_batch(rows, 1, target)
     links = [r.apply_link for r in spark.read.parquet(target).collect()]
     assert len(links) == len(set(links)) == triage(rows, rows.select("apply_link").limit(0)).count()
+
+
+def test_merged_summaries_equal_that_of_all_batches(spark, tmp_path):
+    rows = fx.new_postings(spark, SMALL)
+    target, partials = str(tmp_path / "target"), str(tmp_path / "summaries")
+    stream = stream_of(spark, rows, str(tmp_path / "in"), 3)
+    stream_triage(stream, target, str(tmp_path / "state"), summaries=partials).awaitTermination()
+    triage_batch(rows.filter("posting_id % 3 = 2"), 2, target, summaries=partials)
+    everything = spark.read.parquet(target)
+    stored = spark.read.parquet(partials)
+    assert stored.select("run_id").distinct().count() == 3
+    assert report.merged_run_summary(stored).collect() == report.run_summary(everything).collect()
+    assert report.merged_zone_breakdown(stored).collect() == report.zone_breakdown(everything).collect()
+    assert report.merged_run_summary(stored.limit(0)).collect() == report.run_summary(everything.limit(0)).collect()
+    visits = spark.createDataFrame([(i, s) for i, s in enumerate(["connect", "follow", "visited_only", "x", "connect"] * 7)], "run int, status string")
+    parts = report.visits_per_status(visits.filter("run < 9")).unionAll(report.visits_per_status(visits.filter("run >= 9")))
+    assert report.merged_visit_totals(parts).collect() == report.visit_totals(visits).collect()
