@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hirelode import rules
 from hirelode.catalog import fixtures as fx
 from hirelode.functions import classify, emails, text, urls
-from hirelode.operators import contacts, dedup, joins, matching, order, pages, ranking, report, strict_pages
+from hirelode.operators import contacts, dedup, joins, matching, order, pages, ranking, report, rule_tables, strict_pages
 from hirelode.plans import contacts as contacts_plan
 from hirelode.plans import triage as triage_plan
 from hirelode.session import materialize, scratch_path
@@ -546,6 +546,26 @@ def location_zones(spark, sf):
     )
 
 
+@query
+def zones_by_table(spark, sf):
+    rows = fx.postings(spark, sf).select("posting_id", "location")
+    places = rows.select(F.col("location").alias("key"), text.fold_umlauts("location").alias("text")).distinct()
+    zones = rule_tables.first_labels(places, rule_tables.place_rules(spark, rules.ZONE_TIERS), rules.ZONE_DEFAULT)
+    return rows.join(zones, F.col("location").eqNullSafe(F.col("key"))).select(
+        "posting_id", "location", F.col("label").alias("zone")
+    )
+
+
+@query
+def skills_by_table(spark, sf):
+    read = F.lower(text.text_or_blank("description")).alias("text")
+    texts = fx.postings(spark, sf).select(F.col("posting_id").alias("key"), read)
+    dictionary = rule_tables.skill_rules(spark, rules.CORE_SKILLS + rules.SUPPORTING_SKILLS)
+    return rule_tables.all_labels(texts, dictionary).select(
+        F.col("key").alias("posting_id"), F.concat_ws(", ", "labels").alias("skills"), F.size("labels").alias("n_skills")
+    )
+
+
 @query
 def region_filter(spark, sf):
     kept = fx.postings(spark, sf).filter(classify.is_in_region("location"))
