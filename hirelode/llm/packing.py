@@ -33,10 +33,15 @@ LEAST_CUT = 8
 SEQUENCE_BITS = 40
 #: Words that each worker remembers, the first ones it meets; others are merged each time.
 MEMORY = 300_000
+#: Longer ones are not remembered, so that the memory is bounded in bytes.
+LONGEST = 64
+#: Ahead of a part of a text with unusual characters, in the memory; no part holds it.
+BETWEEN_MARK = " "
 
 #: Up to here, case, normal form and class of a character agree in all Unicode versions, and its
 #: lower case lies here too; texts with others go to the library.
 LAST_PLAIN = 0x17F
+PLAIN_BLANKS = re.compile("[\\t-\\r\\x20]+")
 UNUSUAL = re.compile(f"[^\\t-\\r\\x20-\\x7e\\xa1-\\u{LAST_PLAIN:04x}]|<\\|")
 LETTERS = "".join(
     f"\\u{n:04x}" for n in range(LAST_PLAIN + 1) if unicodedata.category(chr(n))[0] == "L"
@@ -59,7 +64,8 @@ class WordEncoder:
 
     The tokenizer normalizes a text (NFC, white space, lower case), cuts it into words and merges
     within each. For texts of plain characters the same is done here once per word, with the
-    tokenizer's own merges; any other text goes to the tokenizer as a whole.
+    tokenizer's own merges; parts with other characters go to the tokenizer, each as it stands between
+    plain white space.
     """
 
     def __init__(self, path: str):
@@ -89,24 +95,32 @@ class WordEncoder:
         for word in words:
             if (merged := known.get(word)) is None:
                 merged = self.word(word)
-                if len(known) < MEMORY:
+                if len(known) < MEMORY and len(word) <= LONGEST:
                     known[word] = merged
             ids.append(merged)
         return b"".join(ids)
 
+    def unusual(self, part: str) -> bytes:
+        """Ids of a part that holds an unusual character: from the library, which cuts at white space first."""
+        return self.library(part) if UNUSUAL.search(part) else self.part(plain(part))
+
     def __call__(self, text: str) -> bytes:
+        known, make = self.known_parts, self.part
         if UNUSUAL.search(text):
-            return self.library(text)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        parts, known = text.lower().split(), self.known_parts
+            # Parts between plain white space are cut, normalized and merged each by itself, so a text goes
+            # to the library in its unusual parts alone. They are marked, as plain ones are lower-cased.
+            parts, make = [BETWEEN_MARK + p for p in PLAIN_BLANKS.split(text) if p], lambda p: self.unusual(p[1:])
+        else:
+            parts = plain(text).split()
         fresh = set(parts).difference(known)
+        made = {part: make(part) for part in fresh}
         if len(known) + len(fresh) <= MEMORY:
-            for part in fresh:
-                known[part] = self.part(part)
-            return b"".join(map(known.__getitem__, parts))
-        rare = {part: self.part(part) for part in fresh}
-        return b"".join([known.get(p) or rare[p] for p in parts])
+            known.update((part, ids) for part, ids in made.items() if len(part) <= LONGEST)
+        return b"".join([ids if (ids := known.get(p)) is not None else made[p] for p in parts])
+
+
+def plain(text: str) -> str:
+    return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
 
 
 @lru_cache(maxsize=2)

@@ -8,6 +8,7 @@ weights of encoder, gates and output are learned together, from labels of whole
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,8 @@ from hirelode.llm.common import fold, training_rows, with_columns
 #: Bytes of a passage; it ends at the next white space, if one comes soon.
 PASSAGE = 640
 SLACK = 80
+#: Passages that are features at once.
+BLOCK = 1_024
 #: Labelled documents of either class that the model is fitted on, at most; a documented bound.
 SAMPLE_PER_CLASS = 1_500
 HIDDEN, GATE = 24, 12
@@ -48,17 +51,18 @@ CLASSES = 8 + len(SYMBOLS)
 FEATURES = CLASSES * CLASSES + 3
 
 
-def passages(text: bytes) -> list[bytes]:
+def passages(text: bytes) -> Iterator[bytes]:
     """Consecutive pieces of the whole text; the empty text is one empty passage."""
-    pieces, at = [], 0
+    at = 0
     while at < len(text):
         end = at + PASSAGE
         if end < len(text):
             blank = text.find(b" ", end, end + SLACK)
             end = end if blank < 0 else blank
-        pieces.append(text[at:end])
+        yield text[at:end]
         at = end
-    return pieces or [b""]
+    if not text:
+        yield b""
 
 
 def encode_passages(pieces: list[bytes]) -> np.ndarray:
@@ -125,10 +129,39 @@ class Model:
         }
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        pieces = [passages(t) for t in texts]
-        starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]).astype(np.int64)
-        flat = [p for several in pieces for p in several]
-        return self.forward(encode_passages(flat), starts)["score"]
+        """What `forward` gives, BLOCK passages at a time.
+
+        The attention's maximum, its sum and the weighted passages of each text are carried from block to
+        block, so memory does not grow with the length of a text.
+        """
+        w = self.weights
+        top, total = np.full(len(texts), -np.inf), np.zeros(len(texts))
+        pooled = np.zeros((len(texts), len(w["out"])))
+        for numbers, pieces in blocks(texts):
+            hidden = np.tanh((encode_passages(pieces) - self.mean) / self.scale @ w["encode"] + w["encode_bias"])
+            raw = (np.tanh(hidden @ w["signal"]) / (1 + np.exp(-(hidden @ w["gate"])))) @ w["attend"]
+            starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+            of, counts = numbers[starts], np.diff(np.append(starts, len(numbers)))
+            most = np.maximum(top[of], np.maximum.reduceat(raw, starts))
+            power, before = np.exp(raw - np.repeat(most, counts)), np.exp(top[of] - most)
+            total[of] = total[of] * before + np.add.reduceat(power, starts)
+            pooled[of] = pooled[of] * before[:, None] + np.add.reduceat(power[:, None] * hidden, starts, axis=0)
+            top[of] = most
+        return 1 / (1 + np.exp(-((pooled / total[:, None]) @ w["out"] + w["out_bias"])))
+
+
+def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Passages of all texts in turn, BLOCK at a time, each with the number of its text."""
+    numbers, pieces = [], []
+    for number, text in enumerate(texts):
+        for piece in passages(text):
+            numbers.append(number)
+            pieces.append(piece)
+            if len(pieces) == BLOCK:
+                yield np.array(numbers), pieces
+                numbers, pieces = [], []
+    if pieces:
+        yield np.array(numbers), pieces
 
 
 def fit(texts: list[bytes], labels: np.ndarray, share_of_ones: float) -> Model:
@@ -137,7 +170,7 @@ def fit(texts: list[bytes], labels: np.ndarray, share_of_ones: float) -> Model:
     The two classes weigh the same while learning, then the logit moves to the share of ones.
     """
     random = np.random.RandomState(SEED)
-    bags = [encode_passages(passages(t)) for t in texts]
+    bags = [encode_passages(list(passages(t))) for t in texts]
     every = np.concatenate(bags)
     model = Model(every.mean(axis=0), every.std(axis=0) + 0.02, {
         "encode": random.randn(FEATURES, HIDDEN) / np.sqrt(FEATURES), "encode_bias": np.zeros(HIDDEN),

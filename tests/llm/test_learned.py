@@ -76,7 +76,7 @@ def test_quality_gradients():
     draw = np.random.RandomState(0)
     texts = [b"some words here " * n for n in (1, 60, 130)]
     model = quality.fit(texts, np.array([0, 1, 1]), 0.5)
-    bags = [quality.encode_passages(quality.passages(t)).astype(float) for t in texts]
+    bags = [quality.encode_passages(list(quality.passages(t))).astype(float) for t in texts]
     features = np.concatenate(bags) + 0.1 * draw.randn(sum(map(len, bags)), quality.FEATURES)
     starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
     labels = np.array([0.0, 1.0, 0.0])

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from hirelode.llm import byte_bpe, packing, token_counts
+from hirelode.llm import byte_bpe, packing, quality, token_counts
 from hirelode.llm.queries import BYTE_RANKS, WORD_TOKENIZER
 from tests.llm.conftest import EDGE
 
@@ -136,7 +136,7 @@ def test_packing_covers_every_id_once(spark, edge, empty):
     rows = packing.pack_texts(edge.filter("doc_id NOT IN (4, 9)"), WORD_TOKENIZER).collect()
     expected = defaultdict(list)
     for key, text, _ in EDGE:
-        if key not in (4, None):
+        if key not in (4, 9, None):
             ids = library.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
             expected[key].append(np.array(ids, dtype="<u4").tobytes())
     check_packing(rows, {k: sorted(v) for k, v in expected.items()})
@@ -186,3 +186,31 @@ def test_loss_column_counts(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, bears boolean")
     pieces = packing.pack_texts(docs.coalesce(1), WORD_TOKENIZER, loss="bears", limits=(64, 8, 5)).collect()
     assert len({r.sequence_id for r in pieces}) == 1
+
+
+def test_unusual_parts_of_a_text_go_to_the_library_alone(monkeypatch):
+    random.seed(6)
+    encode, library = packing.WordEncoder(WORD_TOKENIZER), Tokenizer.from_file(WORD_TOKENIZER)
+    library.encode_special_tokens = True
+    pieces = ["Word", "straße", "İstanbul", "日本語", "étude", "́", "a b", "x　y", "Σίσυφος ΣΑΣ", "<|endoftext|>", "😀ok", "​", "don't", "1234",
+              "ǅ", "ﬁn", "\x1c", "\x85", "K", "Å", "﻿", "٣٤"]
+    for _ in range(400):
+        text = "".join(random.choice(pieces) + random.choice([" ", "\n", "  ", "\t\r\n", ""]) for _ in range(random.randint(1, 12)))
+        ids = np.frombuffer(encode(text), dtype="<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids, text
+    seen = []
+    monkeypatch.setattr(encode, "library", lambda part: seen.append(part) or b"")
+    encode("plain words " * 10_000 + "日本 " + "more " * 10_000 + "x" * 500)
+    assert seen == ["日本"] or seen == []
+    assert max(map(len, encode.known_parts)) <= packing.LONGEST
+
+
+def test_quality_in_blocks_equals_all_passages_at_once():
+    draw = np.random.RandomState(3)
+    texts = [b"", b"a short text", bytes(draw.randint(97, 123, 40_000, dtype=np.uint8)), b"word " * 9_000, b"x"]
+    model = quality.fit([t + b" and more" for t in texts] + [b"THE OTHER %% " * 50] * 5, np.array([0] * 5 + [1] * 5), 0.5)
+    bags = [quality.encode_passages(list(quality.passages(t))) for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
+    whole = model.forward(np.concatenate(bags), starts)["score"]
+    assert np.allclose(model.score(texts), whole, rtol=0, atol=1e-12)
+    assert np.allclose([model.score([t])[0] for t in texts], whole, rtol=0, atol=1e-12)
