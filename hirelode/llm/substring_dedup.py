@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelode.llm.common import prepare, with_columns
-from hirelode.operators.joins import flagged
+from hirelode.operators.joins import flagged, may_be_in
 
 #: The hash has 16 bits and shifts by one for each byte, so its window is 16 bytes.
 WINDOW = 16
@@ -156,7 +156,10 @@ def spans_of(told: DataFrame, key: str, text: str, least_span: int) -> DataFrame
     found = chunks(keyed, key, text, "__llm_row").withColumnRenamed(key, "key").withColumnRenamed("__llm_row", "row")
     held = found.groupBy("high", "low").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     shared = held.filter("first < last").drop("last")
-    copies = found.join(shared, ["high", "low"]).filter("key > first")
+    # Chunks that surely one key alone holds go before they are shuffled again.
+    digest = F.struct("high", "low").alias("digest")
+    likely = may_be_in(found.select("*", digest), shared.select(digest), "digest").drop("digest")
+    copies = likely.join(shared, ["high", "low"]).filter("key > first")
     # Repeated rows meet here, ahead of the window, whose group is then one text.
     pieces = copies.groupBy("key", "row", "start").agg(
         F.max(F.col("start") + F.col("length")).alias("end"), F.min("first").alias("first")
@@ -185,8 +188,9 @@ def repeated_spans(
     Other columns are not looked at; an empty table gives no rows.
 
     One combining aggregate finds the chunks that two or more documents hold, so a chunk of a third
-    of all documents shuffles one row per task; the join that follows is left to skew handling. Neighbouring
-    chunks of a text join to spans in one pass in order of their start.
+    of all documents shuffles one row per task. The join that follows sees the chunks that a membership
+    filter of them lets through and is left to skew handling. Neighbouring chunks of a text join to spans
+    in one pass in order of their start.
     """
     told = told_apart(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text)
     return spans_of(told, key, text, least_span).select(
