@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from hirelode.llm.common import prepare, with_columns
 from hirelode.operators.joins import flagged, may_be_in
+from hirelode.session import materialize
 
 #: The hash has 16 bits and shifts by one for each byte, so its window is 16 bytes.
 WINDOW = 16
@@ -155,7 +156,9 @@ def spans_of(told: DataFrame, key: str, text: str, least_span: int) -> DataFrame
     keyed = told.filter(F.col(f"`{key}`").isNotNull())
     found = chunks(keyed, key, text, "__llm_row").withColumnRenamed(key, "key").withColumnRenamed("__llm_row", "row")
     held = found.groupBy("high", "low").agg(F.min("key").alias("first"), F.max("key").alias("last"))
-    shared = held.filter("first < last").drop("last")
+    # Written, as it is used twice, and so that both sides of the join are plain shuffles, which the adaptive
+    # skew join can split.
+    shared = materialize(held.filter("first < last").drop("last"))
     # Chunks that surely one key alone holds go before they are shuffled again.
     digest = F.struct("high", "low").alias("digest")
     likely = may_be_in(found.select("*", digest), shared.select(digest), "digest").drop("digest")
