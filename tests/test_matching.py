@@ -1,5 +1,6 @@
 import math
 import random
+from itertools import takewhile
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,28 @@ def test_a_cv_in_a_third_of_all_pairs(spark, sides):
     assert joined.count() == 900
 
 
+def test_a_posting_is_not_shuffled_for_each_of_its_pairs(spark, sides, plan):
+    jobs, cvs, _ = sides
+    pairs = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (9, 10), (1, 99)], "job_id int, cv_id int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = matching.attach_pairs(pairs, matching.prepare_jobs(jobs), matching.prepare_cvs(cvs))
+        nodes = plan(joined).splitlines()
+        by_cv = [i for i, node in enumerate(nodes) if "Exchange hashpartitioning(cv_id" in node]
+        assert len(by_cv) == 2
+        for i in by_cv:
+            depth = nodes[i].index("Exchange")
+            deeper = takewhile(lambda node: not node[: depth + 1].strip(" :+-"), nodes[i + 1 :])
+            assert not any("job_tokens" in node for node in deeper)
+        got = {(r.job_id, r.cv_id): (r.job_tokens, r.cv_tokens) for r in joined.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(got) == 5
+    assert got[1, 10] == (["python", "data", "aws"], ["python", "and", "sql"])
+    assert got[9, 10] == (None, ["python", "and", "sql"]) and got[1, 99] == (["python", "data", "aws"], None)
+
+
 def test_best_postings_over_all_pairs_equal_the_full_product(spark, sides, offers):
     """Ties, equal postings, hot words, rows without a score, more CVs than a block holds."""
     draw = random.Random(4)
