@@ -216,6 +216,43 @@ def test_training_samples_hold_one_row_of_each_id(spark, monkeypatch):
     assert len(seen[0]) == 40
 
 
+def test_the_network_learns_from_all_candidates(spark, monkeypatch):
+    """Names of a kind that only the last documents hold, of many more than are fitted in one place."""
+    draw = np.random.RandomState(8)
+    ids = [r.id for r in spark.range(2_400).orderBy(F.xxhash64("id"), "id").collect()]
+    pick = lambda letters, n: "".join(draw.choice(list(letters), n))
+
+    def text(place):
+        if place % 2 == 0:
+            return f"the value of it is {pick('0123456789abcdef', 32)} and so on"
+        if place < 300:
+            return f"write to first.{pick('abcdefghij', 6)}{place} about it"
+        return f"PICTURE NUMBER ({pick('ABCDEFGHIJ0123456789', 30)}7) SEEN"
+
+    texts = [text(place) for place in range(2_400)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    monkeypatch.setattr(secrets, "SAMPLE_PER_CLASS", 100)
+    monkeypatch.setattr(secrets, "START_ROWS", 200, raising=False)
+    monkeypatch.setattr(secrets, "SHARD_ROWS", 2_000, raising=False)
+    model = secrets.train(docs)
+
+    def flagged(some, side):
+        return np.mean([p >= model.threshold for t in some for p in model.probability(model.logits(t, secrets.split_candidates(t)[side]))])
+
+    assert flagged(texts[::2], 1) > 0.9 and flagged(texts[301::2], 2) < 0.1
+    again = secrets.train(docs.repartition(7, "text"))
+    assert again.threshold == model.threshold and all((again.weights[n] == w).all() for n, w in model.weights.items())
+
+
+def test_records_hold_every_candidate():
+    _, hit, rest = secrets.split_candidates(SECRETS)
+    found = secrets.Records.of([secrets.records(SECRETS), secrets.records(""), secrets.records("plain words")])
+    count = [int((found.label == label).sum()) for label in (secrets.FINDING, secrets.COPY, secrets.ORDINARY)]
+    assert count == [len(hit), len(hit), len(rest)]
+    rows = [secrets.symbols(SECRETS, *span)[0] for span in hit]
+    assert np.array_equal(found.rows[found.label == secrets.FINDING], np.stack(rows))
+
+
 def test_the_threshold_keeps_its_recall_when_findings_are_hard_to_tell():
     draw = np.random.RandomState(6)
     key = lambda n: "AKIA" + "".join(draw.choice(list("ABCDEFGHIJKLMNOP0123456789"), n)) + "7"
